@@ -3,7 +3,7 @@
 Encoding, three steps:
 
 1. Split. Every partition cuts its texts into words at ASCII white space and numbers the distinct words of
-   each chunk (at most ``CHUNK_WORDS`` words beyond the last whole text) in order of appearance. It keeps
+   each chunk (whole texts, about ``CHUNK_WORDS`` words) by frequency. It keeps
    each text as the numbers of its words, by position, and deals the chunk's distinct words to buckets by
    their hash. That table is checkpointed: the later steps read what one run has written.
 2. Encode. A bucket gets each word at most once from a chunk (a frequent word is pre-aggregated, so no word
@@ -82,6 +82,19 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _pack_words(a: np.ndarray) -> bytes:
+    """Numbers of which most are below 255: a byte each, and the planes of the others."""
+    small = zstandard.ZstdCompressor(level=3).compress(np.minimum(a, 255).astype(np.uint8).tobytes())
+    return len(small).to_bytes(4, "little") + small + _pack(a[a >= 255] - 255)
+
+
+def _unpack_words(b: bytes) -> np.ndarray:
+    cut = 4 + int.from_bytes(b[:4], "little")
+    a = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[4:cut]), np.uint8).astype(np.uint32)
+    a[a == 255] = _unpack(b[cut:]) + 255
+    return a
+
+
 class _Numbers(dict):
     """Numbers words in order of appearance."""
 
@@ -94,50 +107,51 @@ def _splitter(n_buckets: int):
     def split(batches):
         task, seq = TaskContext.get().partitionId(), 0
         schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("lens", pa.binary()), ("body", pa.binary())])
-        numbers, total = _Numbers(), 0
+        numbers = _Numbers()
         ids: list = []
-        lens: list = []
         parts: list = []
         held = 0
 
         def row(kind, bucket, ids, lens, body):
             return pa.RecordBatch.from_pylist([{"chunk": task * 2**24 + seq, "kind": kind, "bucket": bucket, "ids": ids, "lens": lens, "body": body}], schema)
 
-        def texts():
-            return row(0, -1, ids, _pack(np.array(lens, np.uint32)), _pack(np.concatenate(parts)))
-
-        def vocabulary():
-            """The bucket of each word, and each bucket's words."""
+        def chunk():
+            """The texts as word numbers, the most frequent word first; each word's bucket; each bucket's words."""
+            lens = np.array([len(p) for p in parts], np.uint32)
+            flat = np.concatenate(parts)
+            parts.clear()
+            order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            ends = np.cumsum(lens, dtype=np.int64)
+            at = 0
+            while at < len(ids):
+                first = int(ends[at - 1]) if at else 0
+                to = min(at + ROW_DOCS, int(np.searchsorted(ends, first + ROW_WORDS)) + 1, len(ids))
+                yield row(0, -1, ids[at:to], _pack(lens[at:to]), _pack_words(rank[flat[first : int(ends[to - 1])]]))
+                at = to
+            del flat
             words = list(numbers)
+            words = [words[i] for i in order.tolist()]
             of = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % n_buckets
             yield row(1, -1, [], b"", _pack(of))
             order = np.argsort(of, kind="stable")
             ends = np.cumsum(np.bincount(of, minlength=n_buckets))
             for k in np.unique(of).tolist():
                 picked = [words[i] for i in order[ends[k - 1] if k else 0 : ends[k]].tolist()]
-                yield row(2, k, [], b"", zstandard.ZstdCompressor(level=3).compress(b"\n".join(picked)))
+                yield row(2, k, [], b"", zstandard.ZstdCompressor(level=9).compress(b"\n".join(picked)))
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(text.as_py() or b"")
                 parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
                 ids.append(doc)
-                lens.append(len(words))
                 held += len(words)
-                total += len(words)
-                if held >= ROW_WORDS or len(ids) >= ROW_DOCS:
-                    yield texts()
-                    ids, lens, parts, held = [], [], [], 0
-                if total >= CHUNK_WORDS:
-                    if ids:
-                        yield texts()
-                        ids, lens, parts, held = [], [], [], 0
-                    yield from vocabulary()
-                    numbers, total, seq = _Numbers(), 0, seq + 1
+                if held >= CHUNK_WORDS:
+                    yield from chunk()
+                    numbers, ids, held, seq = _Numbers(), [], 0, seq + 1
         if ids:
-            yield texts()
-        if ids or total:
-            yield from vocabulary()
+            yield from chunk()
 
     return split
 
@@ -192,7 +206,7 @@ def _joiner(texts: pa.Table, coded: pa.Table) -> pa.Table:
     starts[order] = np.cumsum(lens[order], dtype=np.int64) - lens[order]
     batches = []
     for r in np.flatnonzero(kinds == 0).tolist():
-        ids, counts, words = texts.column("ids")[r], _unpack(texts.column("lens")[r].as_py()), _unpack(bodies[r].as_py())
+        ids, counts, words = texts.column("ids")[r], _unpack(texts.column("lens")[r].as_py()), _unpack_words(bodies[r].as_py())
         n = lens[words]
         tokens = flat[_ranges(starts[words], n)].astype("<u4").tobytes()
         ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[np.cumsum(counts, dtype=np.int64)] * 4
