@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,11 +126,16 @@ def train(sample: list[tuple[bytes, int]], seed: int = 11, epochs: int = EPOCHS)
     per_doc, doc_first = np.diff(doc_first), np.array(doc_first[:-1])
     doc_of = np.repeat(np.arange(len(rows)), per_doc)
     del rows
-    grams = [buckets_of(w) for w in known] or [[0]]
-    n_grams = np.array([len(g) for g in grams])
-    used, flat = np.unique(np.array([b for g in grams for b in g]), return_inverse=True)
-    owner = np.repeat(np.arange(len(grams), dtype=np.int32), n_grams)
-    del grams
+    grams, sizes = array("i"), array("i")
+    for w in known or {"": 0}:
+        b = buckets_of(w)
+        grams.extend(b)
+        sizes.append(len(b))
+    n_grams = np.array(sizes)
+    used, flat = np.unique(np.frombuffer(grams, np.int32), return_inverse=True)
+    flat = flat.astype(np.int32)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), n_grams)
+    del known, grams, sizes
     y = np.array([label for _, label in sample], np.float64)
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)  # both classes alike
 
