@@ -39,10 +39,10 @@ def runner(template: Template) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def all_templates() -> dict[str, Template]:
-    from ..operators import catalog, metrics, resolve, search, shaping, sync
+    from ..operators import catalog, metrics, names, resolve, search, shaping, sync
 
     out: dict[str, Template] = {}
-    for module in (search, shaping, resolve, metrics, catalog, sync):
+    for module in (search, shaping, resolve, metrics, names, catalog, sync):
         out |= module.TEMPLATES
     return out
 
