@@ -217,13 +217,13 @@ def hex16(col: str) -> F.Column:
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with one document of each near-duplicate component: the smallest id.
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_components) -> DataFrame:
+    """The rows of ``df`` with one document of each near-duplicate component of ``groups``: the smallest id.
 
     Of rows that repeat that id one stays, the one with the smallest hash of its text. Rows whose id is null
     can't be told apart and all stay.
     """
-    chosen = near_components(df.where(F.col(id_col).isNotNull()), id_col, text_col).where("doc_id = component_id")
+    chosen = groups(df.where(F.col(id_col).isNotNull()), id_col, text_col).where("doc_id = component_id")
     chosen = chosen.groupBy(F.col("component_id").alias("_id")).agg(F.count("*").alias("_n"))
     kept = df.join(chosen, df[id_col] == F.col("_id"), "inner")
     # Only ids that occur more than once pass through the aggregate; they are few, and each keeps one row.
