@@ -43,8 +43,8 @@ def stratified(d: Spark, n: int = 60, seed: int = 42) -> str:
 
 
 TEMPLATES = {
-    "levenshtein_pairs": lambda d: f"""select item_id, doc_id, levenshtein(a, b) as distance, round({similarity('a', 'b')}, 9) as similarity from (
-        select i.item_id, t.doc_id, {normal(d, 'substr(i.text, 1, 80)')} as a, {normal(d, 'substr(t.text, 1, 80)')} as b from {{benchmark}} i join {{documents}} t on t.doc_id % 40 = i.item_id % 40) x""",
+    "levenshtein_pairs": lambda d: f"""select id, paper_id, levenshtein(a, b) as distance, round({similarity('a', 'b')}, 9) as similarity from (
+        select r.id, r.paper_id, {normal(d, 'r.title')} as a, {normal(d, 'p.title')} as b from {{paperbiblio}} r join {{paper}} p on p.id = r.paper_id) x""",
     "field_scores": lambda d: f"select id, round(title, 9) as title, year, round(journal, 9) as journal, doi from ({field_scores(d)}) x",
     "score_means": lambda d: f"select count(*) as n, round(avg(title), 6) as title, round(avg(year), 6) as year, round(avg(journal), 6) as journal, round(avg(doi), 6) as doi, round(avg(case when title >= 0.8 then 1e0 else 0e0 end), 6) as title_hits from ({field_scores(d)}) x",
     "stratified_sample": stratified,

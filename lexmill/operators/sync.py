@@ -27,7 +27,7 @@ TEMPLATES = {
     "build_items": lambda d: f"with i as ({ITEMS}) select p.key, p.title, coalesce(a.n, 0) as attachments from i p left join (select parent, count(*) as n from i where parent <> '' group by parent) a on a.parent = p.key where p.parent = ''",
     "orphan_attachments": lambda d: f"with i as ({ITEMS}) select a.key, a.parent from i a where a.parent <> '' and not exists (select 1 from i p where p.key = a.parent and p.parent = '')",
     "parse_items": lambda d: f"select id, {d.extract('date', '(^|[^0-9])(1[5-9][0-9][0-9]|20[0-9][0-9])([^0-9]|$)', 2)} as year_text, case when title = '' then concat('f', id) else title end as title from {{paper}}",
-    "author_refresh": lambda d: f"select paper_id from (select paper_id, {d.gather('name', chr(39) + '; ' + chr(39), 'ord, id')} as now, {d.gather('upper(name)', chr(39) + '; ' + chr(39), 'ord, id')} as then_ from {{author}} where paper_id % 2 = 0 group by paper_id) x where now <> then_",
+    "author_refresh": lambda d: f"select paper_id from (select paper_id, {d.gather('name', chr(39) + '; ' + chr(39), 'ord, id')} as now, {d.gather('upper(name)', chr(39) + '; ' + chr(39), 'ord, id')} as then_ from {{author}} group by paper_id) x where now <> then_",
     "membership_merge": lambda d: "select paper_id, folder_id from {paperfolder} union select id, 200 + (id + 3) % 25 from {paper} where id % 5 = 0",
     "attachment_insert": lambda d: f"select i.key, case when i.title ilike '%1' then 'processed' else 'pending' end as status from ({ITEMS}) i where i.parent <> '' and not exists (select 1 from {{paperfile}} f where f.zotero_key = i.key)",
     "merge_stale": lambda d: f"with m as ({STALE}) select f.id, coalesce(m.new_id, f.paper_id) as paper_id from {{paperfile}} f left join m on m.old_id = f.paper_id",
