@@ -1,6 +1,7 @@
 """Toxicity scores from subword-bag embeddings.
 
-A word is a bag of its character n-grams (``GRAMS`` characters with word-end marks) and itself, each hashed
+Words are runs of ``\\w``; a run of more than ``PIECE`` characters counts as words of that length that overlap
+by ``OVERLAP``. A word is a bag of its character n-grams (``GRAMS`` characters with word-end marks) and itself, each hashed
 to a row of an embedding table; a word's vector is the average of its n-grams', a
 passage's the average over its ``WINDOW`` places (a repeated word counts once, an empty place as zero), and
 a linear softmax over two classes scores it. Table and softmax are trained jointly in numpy. A text is
@@ -37,6 +38,7 @@ GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 8
 WINDOW = 8
+PIECE, OVERLAP = 64, 16
 EPOCHS = 40
 RATE, DECAY, DROP, HEAT, EPS = 0.1, 1e-5, 0.3, 8.0, 1e-5
 CACHE_WORDS = 500_000
@@ -45,12 +47,17 @@ _WORD = re.compile(r"\w+")
 
 
 def words_of(text: bytes) -> list[str]:
-    return _WORD.findall(text.decode("utf-8", "replace").lower())
+    """A text's words; runs of more than ``PIECE`` characters as pieces that overlap, so that all of a run counts."""
+    words = _WORD.findall(text.decode("utf-8", "replace").lower())
+    if all(len(w) <= PIECE for w in words):
+        return words
+    step = PIECE - OVERLAP
+    return [w[i : i + PIECE] for w in words for i in range(0, max(1, len(w) - OVERLAP), step)]
 
 
 def buckets_of(word: str) -> list[int]:
     """The table rows of a word's n-grams and of the word itself."""
-    w = f"<{word[:64]}>".encode("utf-16-le", "surrogatepass")  # two bytes for a character
+    w = f"<{word}>".encode("utf-16-le", "surrogatepass")  # two bytes for a character
     grams = [w[i : i + 2 * n] for n in GRAMS for i in range(0, len(w) - 2 * n + 1, 2)]
     grams.append(word.encode())
     return [h % BUCKETS for h in map(zlib.crc32, grams)]
