@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.dialect import Spark
+from .names import author_scores
 
 #: Weights of the fields in the overall score.
 WEIGHTS = {"title": 0.35, "authors": 0.30, "year": 0.15, "journal": 0.10, "doi": 0.10}
@@ -28,6 +29,13 @@ def field_scores(d: Spark) -> str:
         case when da = db then 1e0 else 0e0 end as doi from x"""
 
 
+def overall_score(d: Spark) -> str:
+    """Records' field scores, authors included, and their weighted sum."""
+    total = " + ".join(f"{w}e0 * {k}" for k, w in WEIGHTS.items())
+    return f"""select id, round(title, 9) as title, authors, year, round(journal, 9) as journal, doi, round({total}, 9) as overall
+      from (select f.*, a.score as authors from ({field_scores(d)}) f join ({author_scores(d)}) a on a.id = f.id) x"""
+
+
 def stratified(d: Spark, n: int = 60, seed: int = 42) -> str:
     """A stratified sample in hash order, short strata filled up from what is left."""
     want = {k: int(v * n) for k, v in STRATA.items()}
@@ -46,6 +54,7 @@ TEMPLATES = {
     "levenshtein_pairs": lambda d: f"""select id, paper_id, levenshtein(a, b) as distance, round({similarity('a', 'b')}, 9) as similarity from (
         select r.id, r.paper_id, {normal(d, 'r.title')} as a, {normal(d, 'p.title')} as b from {{paperbiblio}} r join {{paper}} p on p.id = r.paper_id) x""",
     "field_scores": lambda d: f"select id, round(title, 9) as title, year, round(journal, 9) as journal, doi from ({field_scores(d)}) x",
+    "overall_score": overall_score,
     "score_means": lambda d: f"select count(*) as n, round(avg(title), 6) as title, round(avg(year), 6) as year, round(avg(journal), 6) as journal, round(avg(doi), 6) as doi, round(avg(case when title >= 0.8 then 1e0 else 0e0 end), 6) as title_hits from ({field_scores(d)}) x",
     "stratified_sample": stratified,
     "eval_candidates": lambda d: "select distinct p.id from {paper} p join {paperfile} f on f.paper_id = p.id join {folder} o on o.id = p.folder_id join {source} s on s.id = o.source_id where s.source_type = 'zotero' and f.status = 'processed' and f.hash <> '' and p.title <> '' and p.year is not null",

@@ -3,7 +3,7 @@ import re
 import pytest
 
 from lexmill.plans import registry
-from lexmill.sources.corpus import sample_corpus
+from lexmill.sources.corpus import BASE, sample_corpus
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +51,19 @@ def test_passages_of_every_paper(spark, corpus):
     assert sum(map(len, got.values())) == corpus.passage.count() and len(got) > 100
     for rows in got.values():
         assert [p for p, _, _ in sorted(rows)] == list(range(1, len(rows) + 1)) and [x[1:] for x in sorted(rows)] == sorted(x[1:] for x in rows)
+
+
+def test_overall_score_is_the_weighted_sum(spark):
+    import duckdb
+
+    got = {r.id: r for r in registry.queries()["overall_score"](spark, SF).collect()}
+    fields, authors = ({r.id: r for r in registry.queries()[n](spark, SF).collect()} for n in ("field_scores", "author_scores"))
+    assert got and set(got) == set(fields) == set(authors)
+    for i, r in got.items():
+        f = fields[i]
+        assert (r.title, r.authors, r.year, r.journal, r.doi) == (f.title, authors[i].score, f.year, f.journal, f.doi)
+        assert abs(r.overall - (0.35 * f.title + 0.30 * authors[i].score + 0.15 * f.year + 0.10 * f.journal + 0.10 * f.doi)) < 1e-8
+    con = duckdb.connect()
+    for t in BASE:
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    assert {r[0]: r[-1] for r in con.execute(registry.oracle_sql()["overall_score"]).fetchall()} == pytest.approx({i: r.overall for i, r in got.items()}, abs=1e-8)
