@@ -1,11 +1,20 @@
 """Quality rules by weak supervision, in DataFrame functions only.
 
 Each rule looks at a few counts of a whole text and votes 1 (good), -1 (bad) or 0 (abstains). Rules don't
-filter by themselves: expectation-maximisation over the corpus estimates how often each rule is right
-(votes of one text are taken as independent given its quality) and the share of good texts, without any
-labels; a text is kept by its posterior probability of being good. Texts with equal votes are equal to the
-model, so it runs over a table of vote patterns, at most 3 ** rules rows whatever the corpus, with one
-aggregation for each round; every text is counted in it.
+filter by themselves: expectation-maximisation over the corpus estimates, without any labels, how often each
+rule votes good, bad or not at all on good and on bad texts, and the share of both; a text is kept by its
+posterior probability of being good.
+
+Bad texts are of several kinds, and a rule that catches one kind has nothing to say on another: given only
+that a text is bad, the votes aren't independent. So the bad class is a mixture of kinds of junk, at first
+one for each rule; votes are taken as independent given the kind, and a text's posterior of being good is one
+minus the sum of those of the kinds. Which votes go with which kind, and how common a kind is, comes from the data:
+a kind that nothing supports ends with a share near zero, and its rule then decides nothing.
+
+Texts with equal votes are equal to the model, so it runs over a table of vote patterns, at most 3 ** rules
+rows whatever the corpus, with one aggregation for each round; every text is counted in it. Rounds go on
+until the log-posterior of the model (each vote counts once more than it was cast, so that no rate is zero)
+gains less than ``TOLERANCE`` for each text; it never falls, and it is bounded.
 
 Repeated three-word windows are found by sorting a text's window hashes (64 bits, within one text), so a
 long text costs n log n and no group leaves its row.
@@ -17,6 +26,7 @@ like others; repeated rows stay; other columns are ignored; an empty table gives
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +35,10 @@ from .common import materialize
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-ROUNDS = 12
+#: A word's last character that is neither a letter or digit nor one that prose ends words with.
+ENDING = r"""[^\p{L}\p{N}\p{M} \t-\r.,;:!?'")\]}\u2019\u201d\u00bb\u2026-](?![^ \t-\r])"""
+TOLERANCE = 1e-6
 KEEP = 0.5
-#: An estimated accuracy stays within these, so a rule that always agrees can't silence the others.
-FLOOR, CEIL = 0.55, 0.98
 
 
 def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,8 +67,11 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         n_repeat.cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
-        (F.length("text") - F.length(F.translate("text", ".!?", ""))).cast("long").alias("n_stops"),
+        (F.length("text") - F.length(F.translate("text", "!", ""))).cast("long").alias("n_exclamations"),
+        F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
+        F.regexp_count("text", F.lit(r"\p{Ll}")).cast("long").alias("n_lower"),
+        F.regexp_count("text", F.lit(ENDING)).cast("long").alias("n_endings"),
+        F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1))).cast("long").alias("n_stutters"),
         (F.length("text") - F.length(F.translate("text", "0123456789", ""))).cast("long").alias("n_digits"),
     )
 
@@ -69,50 +82,100 @@ def _vote(good: Column, bad: Column) -> Column:
 
 def rules() -> dict[str, Column]:
     """The votes, over the columns of :func:`counts`. Shares are compared without division."""
-    n = F.col("n_words")
+    n, chars = F.col("n_words"), F.col("word_chars")
     return {
-        "length": _vote(n >= 50, n < 10),
-        "repetition": _vote(F.col("n_repeat_words") * 20 <= n, F.col("n_repeat_words") * 10 > n * 3),
-        "lines": _vote((F.col("n_lines") >= 2) & (F.col("n_dup_lines") == 0), F.col("n_dup_lines") * 10 > F.col("n_lines") * 3),
-        "symbols": _vote((n >= 10) & (F.col("n_symbols") * 100 <= n), F.col("n_symbols") * 10 > n),
-        "word_length": _vote((F.col("word_chars") >= n * 3) & (F.col("word_chars") <= n * 10), (F.col("word_chars") < n * 2) | (F.col("word_chars") > n * 20)),
-        "variety": _vote((n >= 50) & (F.col("n_distinct") * 5 >= n), (n >= 20) & (n < 2000) & (F.col("n_distinct") * 10 < n)),
-        "sentences": _vote((n >= 10) & (F.col("n_stops") * 60 >= n), (n >= 100) & (F.col("n_stops") == 0)),
-        "digits": _vote((n >= 10) & (F.col("n_digits") * 10 <= F.col("word_chars")), F.col("n_digits") * 2 > F.col("word_chars")),
+        "symbols": _vote(F.col("n_symbols") * 20 <= n, F.col("n_symbols") * 10 > n),
+        "endings": _vote(F.col("n_endings") * 10 <= n, F.col("n_endings") * 10 > n * 3),
+        "capitals": _vote(F.col("n_upper") * 4 <= F.col("n_lower"), F.col("n_upper") > F.col("n_lower")),
+        "exclamations": _vote(F.col("n_exclamations") * 50 <= n, F.col("n_exclamations") * 10 > n),
+        "stutter": _vote(F.col("n_stutters") * 20 <= n, F.col("n_stutters") * 10 > n),
+        "windows": _vote(F.col("n_repeat_words") * 5 <= n, F.col("n_repeat_words") * 5 > n * 2),
+        "lines": _vote(F.col("n_dup_lines") * 3 <= F.col("n_lines"), F.col("n_dup_lines") * 2 > F.col("n_lines")),
+        "word_length": _vote((chars >= n * 3) & (chars <= n * 10), (chars < n * 2) | (chars > n * 20)),
+        "digits": _vote(F.col("n_digits") * 10 <= chars, F.col("n_digits") * 4 > chars),
     }
 
 
-def _log_odds(names: list[str], accuracy: dict[str, float], prior: float) -> Column:
-    total = F.lit(math.log(prior / (1 - prior)))
-    for name in names:
-        total = total + F.col(f"vote_{name}") * F.lit(math.log(accuracy[name] / (1 - accuracy[name])))
-    return total
+@dataclass
+class VoteModel:
+    """``share[k]`` of the texts are of kind k (0: good); ``rate[k][3 * r + v]`` of them get vote v of rule r.
+
+    v is 0 for good, 1 for an abstention, 2 for bad.
+    """
+
+    names: list[str]
+    share: list[float]
+    rate: list[list[float]]
+
+    def accuracy(self) -> dict[str, tuple[float, float]]:
+        """How often each rule votes good on good texts, and bad on bad ones (of all of them, abstentions included)."""
+        bad = sum(self.share[1:])
+        return {name: (self.rate[0][3 * r], sum(s * x[3 * r + 2] for s, x in zip(self.share[1:], self.rate[1:], strict=True)) / bad) for r, name in enumerate(self.names)}
+
+
+def _cells(names: list[str]) -> Column:
+    """A row's votes as numbers 3 * rule + vote."""
+    return F.array(*(F.lit(3 * r + 1) - F.col(f"vote_{name}") for r, name in enumerate(names)))
+
+
+def _joint(model: VoteModel) -> Column:
+    """Log-probability of a row's ``cells`` together with each kind. The model is one constant array: the code stays the same."""
+    width = 3 * len(model.names)
+    flat = [math.log(x) for rate in model.rate for x in rate] + [math.log(s) for s in model.share]
+    logs = F.array(*map(F.lit, flat))
+    kinds = F.sequence(F.lit(0), F.lit(len(model.share) - 1))
+    return F.transform(kinds, lambda k: F.aggregate("cells", F.get(logs, k + len(model.rate) * width), lambda s, c: s + F.get(logs, k * width + c)))
+
+
+def _softmax(joint: str) -> Column:
+    raised = F.transform(joint, lambda x: F.exp(x - F.array_max(joint)))
+    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda s, y: s + y))
+
+
+def _first_guess(n_kinds: int) -> Column:
+    """Texts without a vote for bad are good; others are of the kinds of the rules that vote so, in equal parts."""
+    bad = F.filter("cells", lambda c: c % 3 == 2)
+    kinds = F.sequence(F.lit(0), F.lit(n_kinds - 1))
+    part = F.transform(kinds, lambda k: F.when(F.array_contains(bad, k * 3 - 1), 1 / F.size(bad)).otherwise(F.lit(0.0)))
+    return F.when(F.size(bad) == 0, F.transform(kinds, lambda k: F.when(k == 0, 1.0).otherwise(0.0))).otherwise(part)
 
 
-def estimate(votes: DataFrame, rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
-    """Accuracy of each rule and the share of good texts, by expectation-maximisation over vote patterns."""
+def estimate(votes: DataFrame, tolerance: float = TOLERANCE) -> VoteModel:
+    """The model of the votes in ``vote_*``, by expectation-maximisation over vote patterns until it has converged."""
     names = [c[5:] for c in votes.columns if c.startswith("vote_")]
-    patterns = materialize(votes.groupBy(*(f"vote_{n}" for n in names)).agg(F.count("*").alias("n")).coalesce(1))
-    accuracy, prior = dict.fromkeys(names, 0.8), 0.8
-    for _ in range(rounds):
-        good = 1 / (1 + F.exp(-_log_odds(names, accuracy, prior)))
-        model = patterns.withColumn("p", good)
-        right = [F.sum(F.when(F.col(f"vote_{k}") == 1, F.col("n") * F.col("p")).when(F.col(f"vote_{k}") == -1, F.col("n") * (1 - F.col("p")))).alias(f"r_{k}") for k in names]
-        voted = [F.sum(F.col("n") * F.abs(f"vote_{k}")).alias(f"v_{k}") for k in names]
-        got = model.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("good"), *right, *voted).first()
-        if not got["n"]:
-            break
-        accuracy = {k: min(CEIL, max(FLOOR, ((got[f"r_{k}"] or 0) + 8) / ((got[f"v_{k}"] or 0) + 10))) for k in names}
-        prior = min(0.95, max(0.05, got["good"] / got["n"]))
-    return accuracy, prior
+    n_kinds, width = len(names) + 1, 3 * len(names)
+    table = votes.select(_cells(names).alias("cells")).groupBy("cells").agg(F.count("*").alias("n"))
+    patterns = materialize(table.coalesce(1))  # at most 3 ** rules rows
+    model, before = None, None
+    while True:
+        if model is None:
+            split = patterns.select("cells", "n", _first_guess(n_kinds).alias("p"), F.lit(0.0).alias("fit"))
+        else:
+            joint = patterns.select("cells", "n", _joint(model).alias("joint"))
+            top = F.array_max("joint")
+            fit = top + F.log(F.aggregate("joint", F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+            split = joint.select("cells", "n", _softmax("joint").alias("p"), fit.alias("fit"))
+        part = split.select("n", "fit", "cells", F.posexplode("p").alias("kind", "w"))
+        sums = part.select("kind", F.explode(F.concat("cells", F.array(F.lit(-1)))).alias("cell"), (F.col("n") * F.col("w")).alias("w"), (F.col("n") * F.col("fit")).alias("fit"), "n")
+        got = {(r["kind"], r["cell"]): r for r in sums.groupBy("kind", "cell").agg(F.sum("w").alias("w"), F.sum("fit").alias("fit"), F.sum("n").alias("n")).collect()}
+        weight = [got[k, -1]["w"] if got else 0.0 for k in range(n_kinds)]
+        total = sum(weight)
+        if not total:
+            return VoteModel(names, [1 / n_kinds] * n_kinds, [[1 / 3] * width for _ in range(n_kinds)])
+        if model is not None:
+            fitted = got[0, -1]["fit"] + sum(math.log(x) for row in [*model.rate, model.share] for x in row)
+            if before is not None and fitted - before < tolerance * total:
+                return model
+            before = fitted
+        rate = [[((got[k, c]["w"] if (k, c) in got else 0.0) + 1) / (weight[k] + 3) for c in range(width)] for k in range(n_kinds)]
+        model = VoteModel(names, [(w + 1) / (total + n_kinds) for w in weight], rate)
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = KEEP) -> DataFrame:
-    """Counts, votes, ``base_failed``, ``posterior`` and ``kept`` of every row."""
-    base = F.col("n_words") < 50
-    base = base | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    """Counts, votes, ``base_failed``, ``posterior`` (of being good) and ``kept`` of every row."""
+    base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     votes = materialize(counts(df, id_col, text_col).select("*", *(c.alias(f"vote_{k}") for k, c in rules().items())))
-    accuracy, prior = estimate(votes)
-    posterior = 1 / (1 + F.exp(-_log_odds(list(rules()), accuracy, prior)))
-    out = votes.withColumn("base_failed", base).withColumn("posterior", posterior)
+    model = estimate(votes)
+    joint = votes.withColumn("cells", _cells(model.names)).withColumn("joint", _joint(model))
+    out = joint.withColumn("base_failed", base).withColumn("posterior", F.get(_softmax("joint"), F.lit(0))).drop("cells", "joint")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
