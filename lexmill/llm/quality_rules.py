@@ -11,8 +11,8 @@ one for each rule; votes are taken as independent given the kind, and a text's p
 minus the sum of those of the kinds. Which votes go with which kind, and how common a kind is, comes from the data:
 a kind that nothing supports ends with a share near zero, and its rule then decides nothing.
 
-Texts with equal votes are equal to the model, so it runs over a table of vote patterns, at most 3 ** rules
-rows whatever the corpus, with one aggregation for each round; every text is counted in it. Rounds go on
+Texts with equal votes are equal to the model, so one aggregation makes a table of vote patterns with every text
+counted in it, at most 3 ** rules rows whatever the corpus; the rounds are arithmetic on that table. They go on
 until the log-posterior of the model (each vote counts once more than it was cast, so that no rate is zero)
 gains less than ``TOLERANCE`` for each text; it never falls, and it is bounded.
 
@@ -47,7 +47,7 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("text"))
     rows = rows.withColumn("words", F.array_remove(F.split("text", r"[ \t-\r]+"), ""))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     rows = rows.withColumn("lines", lines)
     # The window that starts at each word but the last two.
     window = F.transform(F.slice("words", 1, F.greatest(F.col("n_words") - 2, F.lit(0)).cast("int")), lambda x, i: F.xxhash64(x, F.get("words", i + 1), F.get("words", i + 2)))
@@ -63,16 +63,15 @@ def counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "doc_id",
         "n_words",
         F.length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         n_repeat.cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        (F.length("text") - F.length(F.translate("text", "!", ""))).cast("long").alias("n_exclamations"),
+        F.regexp_count("text", F.lit("!")).cast("long").alias("n_exclamations"),
         F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        F.regexp_count("text", F.lit(r"\p{Ll}")).cast("long").alias("n_lower"),
         F.regexp_count("text", F.lit(ENDING)).cast("long").alias("n_endings"),
         F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1))).cast("long").alias("n_stutters"),
-        (F.length("text") - F.length(F.translate("text", "0123456789", ""))).cast("long").alias("n_digits"),
+        F.regexp_count("text", F.lit("[0-9]")).cast("long").alias("n_digits"),
     )
 
 
@@ -86,7 +85,7 @@ def rules() -> dict[str, Column]:
     return {
         "symbols": _vote(F.col("n_symbols") * 20 <= n, F.col("n_symbols") * 10 > n),
         "endings": _vote(F.col("n_endings") * 10 <= n, F.col("n_endings") * 10 > n * 3),
-        "capitals": _vote(F.col("n_upper") * 4 <= F.col("n_lower"), F.col("n_upper") > F.col("n_lower")),
+        "capitals": _vote(F.col("n_upper") * 5 <= chars, F.col("n_upper") * 2 > chars),
         "exclamations": _vote(F.col("n_exclamations") * 50 <= n, F.col("n_exclamations") * 10 > n),
         "stutter": _vote(F.col("n_stutters") * 20 <= n, F.col("n_stutters") * 10 > n),
         "windows": _vote(F.col("n_repeat_words") * 5 <= n, F.col("n_repeat_words") * 5 > n * 2),
@@ -132,43 +131,48 @@ def _softmax(joint: str) -> Column:
     return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda s, y: s + y))
 
 
-def _first_guess(n_kinds: int) -> Column:
-    """Texts without a vote for bad are good; others are of the kinds of the rules that vote so, in equal parts."""
-    bad = F.filter("cells", lambda c: c % 3 == 2)
-    kinds = F.sequence(F.lit(0), F.lit(n_kinds - 1))
-    part = F.transform(kinds, lambda k: F.when(F.array_contains(bad, k * 3 - 1), 1 / F.size(bad)).otherwise(F.lit(0.0)))
-    return F.when(F.size(bad) == 0, F.transform(kinds, lambda k: F.when(k == 0, 1.0).otherwise(0.0))).otherwise(part)
+def fit_patterns(names: list[str], patterns: list[tuple[list[int], int]], tolerance: float = TOLERANCE) -> VoteModel:
+    """The model of vote patterns (a text's cells, number of texts), by expectation-maximisation until it has converged.
+
+    At first texts without a vote for bad are good; others are of the kinds of the rules that vote so, in equal parts.
+    """
+    kinds, width = range(len(names) + 1), 3 * len(names)
+    total = sum(n for _, n in patterns)
+    if not total:
+        return VoteModel(names, [1 / len(kinds)] * len(kinds), [[1 / 3] * width for _ in kinds])
+    split = []
+    for cells, _ in patterns:
+        bad = [c // 3 + 1 for c in cells if c % 3 == 2]
+        split.append([(k in bad) / len(bad) if bad else float(k == 0) for k in kinds])
+    before = None
+    while True:
+        weight = [0.0] * len(kinds)
+        rate = [[1.0] * width for _ in kinds]  # each vote counts once more than it was cast, so that no rate is 0
+        for (cells, n), p in zip(patterns, split, strict=True):
+            for k in kinds:
+                weight[k] += n * p[k]
+                for c in cells:
+                    rate[k][c] += n * p[k]
+        rate = [[x / (w + 3) for x in row] for row, w in zip(rate, weight, strict=True)]
+        model = VoteModel(names, [(w + 1) / (total + len(kinds)) for w in weight], rate)
+        log_rate, log_share = [[math.log(x) for x in row] for row in rate], [math.log(x) for x in model.share]
+        fit, split = sum(log_share) + sum(map(sum, log_rate)), []
+        for cells, n in patterns:
+            joint = [log_share[k] + sum(log_rate[k][c] for c in cells) for k in kinds]
+            top = max(joint)
+            raised = [math.exp(x - top) for x in joint]
+            split.append([x / sum(raised) for x in raised])
+            fit += n * (top + math.log(sum(raised)))
+        if before is not None and fit - before < tolerance * total:
+            return model
+        before = fit
 
 
 def estimate(votes: DataFrame, tolerance: float = TOLERANCE) -> VoteModel:
-    """The model of the votes in ``vote_*``, by expectation-maximisation over vote patterns until it has converged."""
+    """The model of the votes in ``vote_*``."""
     names = [c[5:] for c in votes.columns if c.startswith("vote_")]
-    n_kinds, width = len(names) + 1, 3 * len(names)
-    table = votes.select(_cells(names).alias("cells")).groupBy("cells").agg(F.count("*").alias("n"))
-    patterns = materialize(table.coalesce(1))  # at most 3 ** rules rows
-    model, before = None, None
-    while True:
-        if model is None:
-            split = patterns.select("cells", "n", _first_guess(n_kinds).alias("p"), F.lit(0.0).alias("fit"))
-        else:
-            joint = patterns.select("cells", "n", _joint(model).alias("joint"))
-            top = F.array_max("joint")
-            fit = top + F.log(F.aggregate("joint", F.lit(0.0), lambda s, x: s + F.exp(x - top)))
-            split = joint.select("cells", "n", _softmax("joint").alias("p"), fit.alias("fit"))
-        part = split.select("n", "fit", "cells", F.posexplode("p").alias("kind", "w"))
-        sums = part.select("kind", F.explode(F.concat("cells", F.array(F.lit(-1)))).alias("cell"), (F.col("n") * F.col("w")).alias("w"), (F.col("n") * F.col("fit")).alias("fit"), "n")
-        got = {(r["kind"], r["cell"]): r for r in sums.groupBy("kind", "cell").agg(F.sum("w").alias("w"), F.sum("fit").alias("fit"), F.sum("n").alias("n")).collect()}
-        weight = [got[k, -1]["w"] if got else 0.0 for k in range(n_kinds)]
-        total = sum(weight)
-        if not total:
-            return VoteModel(names, [1 / n_kinds] * n_kinds, [[1 / 3] * width for _ in range(n_kinds)])
-        if model is not None:
-            fitted = got[0, -1]["fit"] + sum(math.log(x) for row in [*model.rate, model.share] for x in row)
-            if before is not None and fitted - before < tolerance * total:
-                return model
-            before = fitted
-        rate = [[((got[k, c]["w"] if (k, c) in got else 0.0) + 1) / (weight[k] + 3) for c in range(width)] for k in range(n_kinds)]
-        model = VoteModel(names, [(w + 1) / (total + n_kinds) for w in weight], rate)
+    patterns = votes.select(_cells(names).alias("cells")).groupBy("cells").agg(F.count("*").alias("n"))
+    return fit_patterns(names, sorted((list(r["cells"]), r["n"]) for r in patterns.collect()), tolerance)  # at most 3 ** rules rows
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = KEEP) -> DataFrame:
