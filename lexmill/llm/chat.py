@@ -7,16 +7,17 @@ conversation whose own text, as a whole or one of its lines, has the same hash;
 before its single lines. A message's outermost passages are looked at first, then deeper ones. The link is
 an as-of join over (conversation, hash), so neither a common line nor a long conversation makes pairs.
 
-Messages are then put in reply order. A message with no link goes on from the turn before it; one that
-quotes an earlier turn starts a branch there. A branch is read to its end before those that leave it, the
-last to leave first. ``path`` spells this out: sorting a conversation's rows by it gives reply order, and
-grows with the nesting of branches only. No conversation is gathered; rows stay rows.
+Messages are then put in reply order. A message with no link, or with one to the turn right before it, goes on
+from there; one that quotes an older turn starts a branch at that turn. A branch is read to its end before those
+that leave it, the last to leave first. ``path`` spells this out: sorting a conversation's rows by it gives reply
+order. It grows with the nesting of branches only. No conversation is gathered; rows stay rows.
 
 Defined results: a null text is an empty message, null role "user"; a message's own text is what is left
 without quotations, attribution lines before them and blank lines around. Rows that repeat conversation,
-turn, role and text count once; different texts of one turn are ordered by hash. A null conversation or
-turn links nothing and keeps its row, once for each distinct text. Other columns are ignored; an empty
-table gives an empty table.
+turn, role and text count once; different texts of one turn are ordered by hash. Turns are any whole numbers, with
+or without gaps, below zero too. A null conversation or turn links nothing and keeps its row, once for each
+distinct text. Other columns are ignored; an empty table gives an empty table. In chat markup a ``<|`` of a message
+is written ``<\\|`` (and ``<\\|`` as ``<\\\\|`` and so on), so a message can't close its own turn.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def messages(df: DataFrame) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit(""))
     rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("user")).alias("role"), raw.alias("raw")).distinct()
     quotes = F.col("raw").rlike(r"(?m)^[ \t]*>")
-    return rows.select("*", F.when(quotes, own_text(F.col("raw"))).otherwise(F.regexp_replace("raw", r"\A\s+|\s+\z", "")).alias("text"), F.xxhash64("role", "raw").alias("key"), quotes.alias("quotes"))
+    return rows.select("*", F.when(quotes, own_text(F.col("raw"))).otherwise(F.regexp_replace("raw", r"\A\s+|\s+\z", "")).alias("text"), F.substring(F.md5(F.concat("role", F.lit("\n"), "raw")), 1, 16).alias("key"), quotes.alias("quotes"))
 
 
 def passages(rows: DataFrame) -> DataFrame:
@@ -83,45 +84,87 @@ def links(rows: DataFrame) -> DataFrame:
     return found.groupBy("conv_id", "turn", "key").agg(F.min_by("latest", rank).alias("reply_to"))
 
 
+def _sortable(x: Column) -> Column:
+    """A long as text that sorts like the number."""
+    return F.concat(F.when(x < 0, "-").otherwise("0"), F.lpad(F.hex(x.bitwiseAND(F.lit(2**63 - 1))), 16, "0"))
+
+
 def reply_order(df: DataFrame) -> DataFrame:
     """Every message once: ``conv_id``, ``turn``, ``role``, ``text``, ``reply_to``, ``branch``, ``depth`` and ``path``.
 
-    ``branch`` is the turn that the message's branch starts with, ``depth`` the number of branches around it.
+    ``branch`` is the turn that the message's branch starts with (null: the main line), ``depth`` the number of
+    branches around it.
     """
     rows = materialize(messages(df))
     linked = links(rows)
     out = rows.join(linked, ["conv_id", "turn", "key"], "left")
     # A turn with several texts starts a branch if any of them does.
     heads = linked.where("conv_id is not null").groupBy("conv_id", F.col("turn").alias("head")).agg(F.max("reply_to").alias("from"))
-    heads = materialize(heads.where("from < head"))
-    turns = rows.select("conv_id", "turn", "key").withColumn("is_head", F.lit(False))
-    marks = heads.select("conv_id", F.col("head").alias("turn"), F.lit(None).cast("long").alias("key"), F.lit(True).alias("is_head"))
+    spoken = rows.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").alias("head")).distinct()
+    events = heads.withColumn("_is", F.lit(False)).unionByName(spoken.withColumn("_is", F.lit(True)), allowMissingColumns=True)
+    events = latest_before(events, ["conv_id"], "head", F.col("_is"), F.col("head"), SPAN)
+    heads = materialize(events.where("not _is and from < latest").select("conv_id", "head", "from"))
+    turns = rows.select("conv_id", "turn", "key")
 
     def branch_of(points: DataFrame, at: str) -> DataFrame:
-        """``points`` with the head of the branch that turn ``at`` is in: the last head at or before it, else -1."""
+        """``points`` with the head of the branch that turn ``at`` is in: the last head at or before it, else null."""
         events = points.withColumn("_at", F.col(at) + 1).withColumn("_head", F.lit(False))
-        starts = marks.select("conv_id", F.col("turn").alias("_at"), F.lit(True).alias("_head"))
+        starts = heads.select("conv_id", F.col("head").alias("_at"), F.lit(True).alias("_head"))
         got = latest_before(events.unionByName(starts, allowMissingColumns=True), ["conv_id"], "_at", F.col("_head"), F.col("_at"), SPAN)
-        return got.where("not _head").select(*points.columns, F.coalesce("latest", F.lit(-1)).alias("branch"))
+        return got.where("not _head").select(*points.columns, F.col("latest").alias("branch"))
 
     # Each branch's parent branch, then paths by doubling: a round joins what is known so far.
     tree = branch_of(heads.select("conv_id", "head", "from"), "from")
-    step = F.concat(F.lit("~"), F.lpad(F.hex(F.lit(2**40) - F.col("from")), 12, "0"), F.lpad(F.hex("head"), 12, "0"))
+    step = F.concat(F.lit("~"), _sortable(-1 - F.col("from")), _sortable(F.col("head")))
     paths = materialize(tree.select("conv_id", "head", F.col("branch").alias("up"), step.alias("path"), F.lit(1).alias("depth")))
     for _ in range(MAX_DEPTH_ROUNDS):
-        if paths.where("up >= 0").isEmpty():
+        if paths.where("up is not null").isEmpty():
             break
         upper = paths.select("conv_id", F.col("head").alias("up"), F.col("up").alias("up2"), F.col("path").alias("p2"), F.col("depth").alias("d2"))
         paths = paths.join(upper, ["conv_id", "up"], "left")
-        paths = materialize(paths.select("conv_id", "head", F.coalesce("up2", F.lit(-1)).alias("up"), F.concat(F.coalesce("p2", F.lit("")), "path").alias("path"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
-    placed = branch_of(turns.drop("is_head"), "turn")
-    named = placed.join(paths.select("conv_id", F.col("head").alias("branch"), "path", "depth"), ["conv_id", "branch"], "left").select("conv_id", "turn", "key", "branch", "path", "depth")
+        paths = materialize(paths.select("conv_id", "head", F.col("up2").alias("up"), F.concat(F.coalesce("p2", F.lit("")), "path").alias("path"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")))
+    placed = branch_of(turns, "turn")
+    # A conversation's main line, which may hold most of its messages, has no path to look up.
+    inside = placed.where("branch is not null").join(paths.select("conv_id", F.col("head").alias("branch"), "path", "depth"), ["conv_id", "branch"])
+    named = inside.select("conv_id", "turn", "key", "branch", "path", "depth")
     same = out["conv_id"].eqNullSafe(named["conv_id"]) & out["turn"].eqNullSafe(named["turn"]) & (out["key"] == named["key"])
     joined = out.join(named, same, "left")
-    path = F.concat(F.coalesce("path", F.lit("")), F.lit("-"), F.lpad(F.hex(F.coalesce(out["turn"], F.lit(2**40))), 12, "0"), F.lpad(F.hex(out["key"]), 16, "0"))
-    return joined.select(out["conv_id"], out["turn"], out["role"], out["text"], "reply_to", F.coalesce("branch", F.lit(-1)).alias("branch"), F.coalesce("depth", F.lit(0)).alias("depth"), path.alias("path"))
+    path = F.concat(F.coalesce("path", F.lit("")), F.lit("-"), F.when(out["turn"].isNull(), F.lit("z")).otherwise(_sortable(out["turn"])), out["key"])
+    return joined.select(out["conv_id"], out["turn"], out["role"], out["text"], "reply_to", "branch", F.coalesce("depth", F.lit(0)).alias("depth"), path.alias("path"))
 
 
 def chat_format(ordered: DataFrame) -> DataFrame:
     """The rows of :func:`reply_order` with ``chat``, the message in chat markup."""
-    return ordered.withColumn("chat", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("\n<|end|>")))
+    def quoted(c: str) -> Column:
+        return F.regexp_replace(c, r"<(\\*)\|", r"<\\$1|")
+
+    return ordered.withColumn("chat", F.concat(F.lit("<|"), quoted("role"), F.lit("|>\n"), quoted("text"), F.lit("\n<|end|>")))
+
+
+def quoting_messages(conversations: DataFrame) -> DataFrame:
+    """Every row of a table of conversations, with quotations made of earlier turns by arithmetic on conv_id and turn.
+
+    By (conv_id + turn) mod 6 a text starts with: 0 nothing; 1 the whole text of the turn before; 2 an attribution
+    and the first line of the turn two before; 3 the first line of the turn three before at level two, and that of the
+    turn two before at level one; 4 the first line of the turn two before in lower case, with wider spaces and
+    another mark at its end; 5 a line that nobody said. A turn that isn't there or has no text isn't quoted. Of several texts of
+    one turn the smallest is quoted.
+    """
+    keyed = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    out = conversations.select("conv_id", "turn", "role", "text")
+    for back in (1, 2, 3):
+        of = keyed.select(F.col("conv_id").alias("_c"), (F.col("turn") + back).alias("_t"), F.col("said").alias(f"s{back}"))
+        out = out.join(of, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left").drop("_c", "_t")
+
+    def first(c: str) -> Column:
+        return F.split_part(F.col(c), F.lit("\n"), F.lit(1))
+
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
+    quote = (
+        F.when(kind == 1, F.concat(F.lit("> "), F.replace(F.col("s1"), F.lit("\n"), F.lit("\n> ")), F.lit("\n")))
+        .when(kind == 2, F.concat(F.lit("They wrote:\n> "), first("s2"), F.lit("\n")))
+        .when(kind == 3, F.concat(F.lit("> > "), first("s3"), F.lit("\n> "), first("s2"), F.lit("\n")))
+        .when(kind == 4, F.concat(F.lit(">"), F.replace(F.lower(first("s2")), F.lit(" "), F.lit("  ")), F.lit(" !!\n")))
+        .when(kind == 5, F.lit("> nobody said this here\n"))
+    )
+    return out.select("conv_id", "turn", "role", F.when(F.col("text").isNotNull(), F.concat(F.coalesce(quote, F.lit("")), "text")).alias("text"))

@@ -89,7 +89,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = chat.chat_format(chat.reply_order(table(spark, sf_dir, "conversations")))
+    got = chat.chat_format(chat.reply_order(chat.quoting_messages(table(spark, sf_dir, "conversations"))))
     return got.select("conv_id", "turn", "role", "text", "reply_to", "branch", "depth", "path", "chat")
 
 
@@ -173,5 +173,66 @@ FROM o
 """
 
 
+CHAT_SQL = r"""
+WITH RECURSIVE s AS (SELECT conv_id, turn, min(text) AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+quoting AS (
+  SELECT c.conv_id, c.turn, c.role, c.text,
+    CASE ((c.conv_id + c.turn) % 6 + 6) % 6
+      WHEN 1 THEN '> ' || replace(a.t, chr(10), chr(10) || '> ') || chr(10)
+      WHEN 2 THEN 'They wrote:' || chr(10) || '> ' || split_part(b.t, chr(10), 1) || chr(10)
+      WHEN 3 THEN '> > ' || split_part(d.t, chr(10), 1) || chr(10) || '> ' || split_part(b.t, chr(10), 1) || chr(10)
+      WHEN 4 THEN '>' || replace(lower(split_part(b.t, chr(10), 1)), ' ', '  ') || ' !!' || chr(10)
+      WHEN 5 THEN '> nobody said this here' || chr(10) END AS quote
+  FROM conversations c LEFT JOIN s a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1
+    LEFT JOIN s b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2 LEFT JOIN s d ON d.conv_id = c.conv_id AND d.turn = c.turn - 3),
+m AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, CASE WHEN text IS NULL THEN '' ELSE coalesce(quote, '') || text END AS raw FROM quoting),
+k AS (SELECT row_number() OVER () AS id, *, substr(md5(role || chr(10) || raw), 1, 16) AS key FROM m),
+lines AS (SELECT id, unnest(string_split(raw, chr(10))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) AS place FROM k),
+marked AS (
+  SELECT *, length(mark) - length(replace(mark, '>', '')) AS level, lead(mark) OVER (PARTITION BY id ORDER BY place) AS after
+  FROM (SELECT *, regexp_extract(line, '^((?:[ \t]*>)+)', 1) AS mark FROM lines) x),
+own AS (
+  SELECT id, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE level = 0
+    AND NOT (coalesce(after, '') <> '' AND regexp_matches(line, '(?i)^[^>]*\b(wrote|schrieb|escribi\x{00f3}|a \x{00e9}crit)[ \t]*:[ \t]*$'))), ''), '^\s+|\s+$', '', 'g') AS text
+  FROM marked GROUP BY id),
+msg AS (SELECT k.id, conv_id, turn, role, key, own.text FROM k JOIN own USING (id)),
+said AS (
+  SELECT DISTINCT conv_id, turn, trim(regexp_replace(lower(p), '[^\p{L}\p{N}]+', ' ', 'g')) AS p
+  FROM (SELECT conv_id, turn, unnest(list_concat([text], string_split(text, chr(10)))) AS p FROM msg) x),
+runs AS (
+  SELECT id, level, place, regexp_replace(line, '^((?:[ \t]*>)+)[ \t]?', '') AS line,
+    place - row_number() OVER (PARTITION BY id, level ORDER BY place) AS run
+  FROM marked WHERE level > 0),
+quoted AS (SELECT id, level, run, min(place) AS place, string_agg(line, ' ' ORDER BY place) AS whole, list(line ORDER BY place) AS parts FROM runs GROUP BY id, level, run),
+probe AS (
+  SELECT id, level, place, part, trim(regexp_replace(lower(p), '[^\p{L}\p{N}]+', ' ', 'g')) AS p FROM (
+    SELECT id, level, place, 0 AS part, whole AS p FROM quoted
+    UNION ALL SELECT id, level, place, unnest(generate_series(1, len(parts))), unnest(parts) FROM quoted WHERE len(parts) > 1) x),
+hit AS (
+  SELECT probe.id, (part > 0) AS single, level, place, part, max(said.turn) AS turn
+  FROM probe JOIN msg USING (id) JOIN said ON said.conv_id = msg.conv_id AND said.p = probe.p AND said.turn < msg.turn
+  WHERE probe.p <> '' GROUP BY ALL),
+link AS (SELECT id, turn AS reply_to FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY single, level, place, part) AS rn FROM hit) x WHERE rn = 1),
+linked AS (SELECT msg.*, reply_to FROM msg LEFT JOIN link USING (id)),
+head AS (
+  SELECT conv_id, turn AS head, max(reply_to) AS start FROM linked l WHERE reply_to IS NOT NULL GROUP BY conv_id, turn
+  HAVING max(reply_to) < (SELECT max(b.turn) FROM msg b WHERE b.conv_id = l.conv_id AND b.turn < l.turn)),
+tree AS (SELECT h.conv_id, h.head, h.start, max(u.head) AS up FROM head h LEFT JOIN head u ON u.conv_id = h.conv_id AND u.head <= h.start GROUP BY ALL),
+step AS (
+  SELECT *, '~' || CASE WHEN (-1 - start) < 0 THEN '-' ELSE '0' END || upper(lpad(to_hex((-1 - start) & 9223372036854775807), 16, '0'))
+    || CASE WHEN head < 0 THEN '-' ELSE '0' END || upper(lpad(to_hex(head & 9223372036854775807), 16, '0')) AS mark
+  FROM tree),
+paths AS (
+  SELECT conv_id, head, mark AS path, 1 AS depth FROM step WHERE up IS NULL
+  UNION ALL SELECT t.conv_id, t.head, p.path || t.mark, p.depth + 1 FROM step t JOIN paths p ON p.conv_id = t.conv_id AND p.head = t.up),
+placed AS (SELECT l.id, max(h.head) AS branch FROM linked l JOIN head h ON h.conv_id = l.conv_id AND h.head <= l.turn GROUP BY l.id)
+SELECT l.conv_id, l.turn, l.role, l.text, l.reply_to, placed.branch, CAST(coalesce(paths.depth, 0) AS INTEGER) AS depth,
+  coalesce(paths.path, '') || '-' || CASE WHEN l.turn IS NULL THEN 'z' ELSE CASE WHEN l.turn < 0 THEN '-' ELSE '0' END || upper(lpad(to_hex(l.turn & 9223372036854775807), 16, '0')) END || l.key AS path,
+  '<|' || regexp_replace(l.role, '<(\\*)\|', '<\\\1|', 'g') || '|>' || chr(10) || regexp_replace(l.text, '<(\\*)\|', '<\\\1|', 'g') || chr(10) || '<|end|>' AS chat
+FROM linked l LEFT JOIN placed ON placed.id = l.id LEFT JOIN paths ON paths.conv_id = l.conv_id AND paths.head = placed.branch
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": TOPK_SQL, "op9_warc": WARC_SQL}
+    return {"op2_topk": TOPK_SQL, "op9_warc": WARC_SQL, "op10_chat": CHAT_SQL}
