@@ -10,7 +10,7 @@ an as-of join over (conversation, hash), so neither a common line nor a long con
 Messages are then put in reply order. A message with no link, or with one to the turn right before it, goes on
 from there; one that quotes an older turn starts a branch at that turn. A branch is read to its end before those
 that leave it, the last to leave first. ``path`` spells this out: sorting a conversation's rows by it gives reply
-order. It grows with the nesting of branches only. No conversation is gathered; rows stay rows.
+order. It grows with the nesting of branches only, by some ten characters for each level. No conversation is gathered; rows stay rows.
 
 Defined results: a null text is an empty message, null role "user"; a message's own text is what is left
 without quotations, attribution lines before them and blank lines around. Rows that repeat conversation,
@@ -47,11 +47,15 @@ def own_text(text: Column) -> Column:
 
 
 def messages(df: DataFrame) -> DataFrame:
-    """``conv_id``, ``turn``, ``role``, ``raw``, ``text`` (without quotations), ``key`` and ``quotes``."""
-    raw = F.coalesce(F.col("text"), F.lit(""))
-    rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("user")).alias("role"), raw.alias("raw")).distinct()
-    quotes = F.col("raw").rlike(r"(?m)^[ \t]*>")
-    return rows.select("*", F.when(quotes, own_text(F.col("raw"))).otherwise(F.regexp_replace("raw", r"\A\s+|\s+\z", "")).alias("text"), F.substring(F.md5(F.concat("role", F.lit("\n"), "raw")), 1, 16).alias("key"), quotes.alias("quotes"))
+    """``conv_id``, ``turn``, ``role``, ``raw``, ``key`` (of role and text) and ``quotes`` of each distinct message."""
+    rows = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("user")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("raw"))
+    key = F.substring(F.md5(F.concat("role", F.lit("\n"), "raw")), 1, 16)
+    return rows.distinct().select("*", key.alias("key"), F.col("raw").rlike(r"(?m)^[ \t]*>").alias("quotes"))
+
+
+def said_text() -> Column:
+    """A message's own text, from ``raw`` and ``quotes``."""
+    return F.when(F.col("quotes"), own_text(F.col("raw"))).otherwise(F.regexp_replace("raw", r"\A\s+|\s+\z", ""))
 
 
 def passages(rows: DataFrame) -> DataFrame:
@@ -74,10 +78,12 @@ def links(rows: DataFrame) -> DataFrame:
     single = quoted.where(F.size("line_texts") > 1).select("conv_id", "turn", "key", "place", "level", F.posexplode("line_texts").alias("part", "p"))
     probes = whole.unionByName(single.select("conv_id", "turn", "key", "place", "level", (F.col("part") + 1).alias("part"), normalise(F.col("p")).alias("p"))).where("p != ''")
     probes = probes.select("conv_id", "turn", "key", "place", "level", "part", F.xxhash64("p").alias("hash"))
-    # Only conversations that quote are worth looking up.
-    said = rows.join(probes.select("conv_id").distinct(), "conv_id", "left_semi")
+    probes = materialize(probes)
+    said = rows.select("conv_id", "turn", said_text().alias("text"))
     text = F.array_distinct(F.filter(F.concat(F.array(normalise(F.col("text"))), F.transform(F.split("text", "\n"), normalise)), lambda x: x != ""))
-    said = said.select("conv_id", "turn", F.explode(text).alias("p")).select("conv_id", "turn", F.xxhash64("p").alias("hash")).distinct()
+    said = said.select("conv_id", "turn", F.explode(F.transform(text, lambda p: F.xxhash64(p))).alias("hash"))
+    # Only what some message of the conversation quotes takes part in the as-of join.
+    said = said.join(probes.select("conv_id", "hash").distinct(), ["conv_id", "hash"], "left_semi").distinct()
     both = probes.withColumn("said", F.lit(False)).unionByName(said.withColumn("said", F.lit(True)), allowMissingColumns=True)
     found = latest_before(both, ["conv_id", "hash"], "turn", F.col("said"), F.col("turn"), SPAN).where("not said and latest is not null")
     rank = F.struct((F.col("part") > 0).alias("single"), F.col("level"), F.col("place"), F.col("part"))
@@ -85,8 +91,10 @@ def links(rows: DataFrame) -> DataFrame:
 
 
 def _sortable(x: Column) -> Column:
-    """A long as text that sorts like the number."""
-    return F.concat(F.when(x < 0, "-").otherwise("0"), F.lpad(F.hex(x.bitwiseAND(F.lit(2**63 - 1))), 16, "0"))
+    """A long as text that sorts like the number: a letter for the number of hex digits, and these; below zero both turned round."""
+    up, down = F.hex(x), F.hex(-1 - x)
+    below = F.concat(F.char(F.lit(91) - F.length(down)), F.translate(down, "0123456789ABCDEF", "FEDCBA9876543210"))
+    return F.when(x < 0, below).otherwise(F.concat(F.char(F.lit(96) + F.length(up)), up))
 
 
 def reply_order(df: DataFrame) -> DataFrame:
@@ -96,8 +104,7 @@ def reply_order(df: DataFrame) -> DataFrame:
     branches around it.
     """
     rows = materialize(messages(df))
-    linked = links(rows)
-    out = rows.join(linked, ["conv_id", "turn", "key"], "left")
+    linked = materialize(links(rows))
     # A turn with several texts starts a branch if any of them does.
     heads = linked.where("conv_id is not null").groupBy("conv_id", F.col("turn").alias("head")).agg(F.max("reply_to").alias("from"))
     spoken = rows.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").alias("head")).distinct()
@@ -126,11 +133,15 @@ def reply_order(df: DataFrame) -> DataFrame:
     placed = branch_of(turns, "turn")
     # A conversation's main line, which may hold most of its messages, has no path to look up.
     inside = placed.where("branch is not null").join(paths.select("conv_id", F.col("head").alias("branch"), "path", "depth"), ["conv_id", "branch"])
-    named = inside.select("conv_id", "turn", "key", "branch", "path", "depth")
-    same = out["conv_id"].eqNullSafe(named["conv_id"]) & out["turn"].eqNullSafe(named["turn"]) & (out["key"] == named["key"])
-    joined = out.join(named, same, "left")
-    path = F.concat(F.coalesce("path", F.lit("")), F.lit("-"), F.when(out["turn"].isNull(), F.lit("z")).otherwise(_sortable(out["turn"])), out["key"])
-    return joined.select(out["conv_id"], out["turn"], out["role"], out["text"], "reply_to", "branch", F.coalesce("depth", F.lit(0)).alias("depth"), path.alias("path"))
+    found = inside.join(linked, ["conv_id", "turn", "key"], "full").select("conv_id", "turn", "key", "reply_to", "branch", "path", "depth")
+    named = found.select(*(F.col(c).alias(f"of_{c}") for c in found.columns))
+    # Texts move once, at the end.
+    same = F.col("conv_id").eqNullSafe(F.col("of_conv_id")) & F.col("turn").eqNullSafe(F.col("of_turn")) & (F.col("key") == F.col("of_key"))
+    place = F.concat(F.coalesce("of_path", F.lit("")), F.lit("-"), F.when(F.col("turn").isNull(), F.lit("z")).otherwise(_sortable(F.col("turn"))), "key")
+    return rows.join(named, same, "left").select(
+        "conv_id", "turn", "role", said_text().alias("text"), F.col("of_reply_to").alias("reply_to"), F.col("of_branch").alias("branch"),
+        F.coalesce("of_depth", F.lit(0)).alias("depth"), place.alias("path"),
+    )
 
 
 def chat_format(ordered: DataFrame) -> DataFrame:
@@ -148,23 +159,25 @@ def quoting_messages(conversations: DataFrame) -> DataFrame:
     and the first line of the turn two before; 3 the first line of the turn three before at level two, and that of the
     turn two before at level one; 4 the first line of the turn two before in lower case, with wider spaces and
     another mark at its end; 5 a line that nobody said. A turn that isn't there or has no text isn't quoted. Of several texts of
-    one turn the smallest is quoted.
+    one turn the smallest is quoted (of first lines, the smallest one).
     """
-    keyed = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
-    out = conversations.select("conv_id", "turn", "role", "text")
-    for back in (1, 2, 3):
-        of = keyed.select(F.col("conv_id").alias("_c"), (F.col("turn") + back).alias("_t"), F.col("said").alias(f"s{back}"))
-        out = out.join(of, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left").drop("_c", "_t")
-
-    def first(c: str) -> Column:
-        return F.split_part(F.col(c), F.lit("\n"), F.lit(1))
-
-    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6))
+    first = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+
+    def kind(turn: Column) -> Column:
+        return F.pmod(F.col("conv_id") + turn, F.lit(6))
+
+    # What each text gives to later turns, if one of them asks for it.
+    given = [(1, F.col("text"), [1]), (2, first, [2, 3, 4]), (3, first, [3])]
+    parts = [F.when(kind(F.col("turn") + back).isin(kinds), F.struct((F.col("turn") + back).alias("turn"), F.lit(back).alias("back"), part.alias("part"))) for back, part, kinds in given]
+    pieces = conversations.where("conv_id is not null and turn is not null and text is not null").select("conv_id", F.explode(F.array_compact(F.array(*parts))).alias("p"))
+    pieces = pieces.groupBy(F.col("conv_id").alias("of_conv"), F.col("p.turn").alias("of_turn")).agg(*(F.min(F.when(F.col("p.back") == back, F.col("p.part"))).alias(f"s{back}") for back, _, _ in given))
+    out = conversations.select("conv_id", "turn", "role", "text").join(pieces, (F.col("conv_id") == F.col("of_conv")) & (F.col("turn") == F.col("of_turn")), "left")
+    now = kind(F.col("turn"))
     quote = (
-        F.when(kind == 1, F.concat(F.lit("> "), F.replace(F.col("s1"), F.lit("\n"), F.lit("\n> ")), F.lit("\n")))
-        .when(kind == 2, F.concat(F.lit("They wrote:\n> "), first("s2"), F.lit("\n")))
-        .when(kind == 3, F.concat(F.lit("> > "), first("s3"), F.lit("\n> "), first("s2"), F.lit("\n")))
-        .when(kind == 4, F.concat(F.lit(">"), F.replace(F.lower(first("s2")), F.lit(" "), F.lit("  ")), F.lit(" !!\n")))
-        .when(kind == 5, F.lit("> nobody said this here\n"))
+        F.when(now == 1, F.concat(F.lit("> "), F.replace(F.col("s1"), F.lit("\n"), F.lit("\n> ")), F.lit("\n")))
+        .when(now == 2, F.concat(F.lit("They wrote:\n> "), F.col("s2"), F.lit("\n")))
+        .when(now == 3, F.concat(F.lit("> > "), F.col("s3"), F.lit("\n> "), F.col("s2"), F.lit("\n")))
+        .when(now == 4, F.concat(F.lit(">"), F.replace(F.lower("s2"), F.lit(" "), F.lit("  ")), F.lit(" !!\n")))
+        .when(now == 5, F.lit("> nobody said this here\n"))
     )
     return out.select("conv_id", "turn", "role", F.when(F.col("text").isNotNull(), F.concat(F.coalesce(quote, F.lit("")), "text")).alias("text"))

@@ -174,14 +174,14 @@ FROM o
 
 
 CHAT_SQL = r"""
-WITH RECURSIVE s AS (SELECT conv_id, turn, min(text) AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+WITH RECURSIVE s AS (SELECT conv_id, turn, min(text) AS t, min(split_part(text, chr(10), 1)) AS f FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 quoting AS (
   SELECT c.conv_id, c.turn, c.role, c.text,
     CASE ((c.conv_id + c.turn) % 6 + 6) % 6
       WHEN 1 THEN '> ' || replace(a.t, chr(10), chr(10) || '> ') || chr(10)
-      WHEN 2 THEN 'They wrote:' || chr(10) || '> ' || split_part(b.t, chr(10), 1) || chr(10)
-      WHEN 3 THEN '> > ' || split_part(d.t, chr(10), 1) || chr(10) || '> ' || split_part(b.t, chr(10), 1) || chr(10)
-      WHEN 4 THEN '>' || replace(lower(split_part(b.t, chr(10), 1)), ' ', '  ') || ' !!' || chr(10)
+      WHEN 2 THEN 'They wrote:' || chr(10) || '> ' || b.f || chr(10)
+      WHEN 3 THEN '> > ' || d.f || chr(10) || '> ' || b.f || chr(10)
+      WHEN 4 THEN '>' || replace(lower(b.f), ' ', '  ') || ' !!' || chr(10)
       WHEN 5 THEN '> nobody said this here' || chr(10) END AS quote
   FROM conversations c LEFT JOIN s a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1
     LEFT JOIN s b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2 LEFT JOIN s d ON d.conv_id = c.conv_id AND d.turn = c.turn - 3),
@@ -220,15 +220,15 @@ head AS (
   HAVING max(reply_to) < (SELECT max(b.turn) FROM msg b WHERE b.conv_id = l.conv_id AND b.turn < l.turn)),
 tree AS (SELECT h.conv_id, h.head, h.start, max(u.head) AS up FROM head h LEFT JOIN head u ON u.conv_id = h.conv_id AND u.head <= h.start GROUP BY ALL),
 step AS (
-  SELECT *, '~' || CASE WHEN (-1 - start) < 0 THEN '-' ELSE '0' END || upper(lpad(to_hex((-1 - start) & 9223372036854775807), 16, '0'))
-    || CASE WHEN head < 0 THEN '-' ELSE '0' END || upper(lpad(to_hex(head & 9223372036854775807), 16, '0')) AS mark
+  SELECT *, '~' || CASE WHEN (-1 - start) < 0 THEN chr(CAST(91 - length(to_hex(-1 - (-1 - start))) AS INTEGER)) || translate(upper(to_hex(-1 - (-1 - start))), '0123456789ABCDEF', 'FEDCBA9876543210') ELSE chr(CAST(96 + length(to_hex(-1 - start)) AS INTEGER)) || upper(to_hex((-1 - start))) END
+    || CASE WHEN head < 0 THEN chr(CAST(91 - length(to_hex(-1 - head)) AS INTEGER)) || translate(upper(to_hex(-1 - head)), '0123456789ABCDEF', 'FEDCBA9876543210') ELSE chr(CAST(96 + length(to_hex(head)) AS INTEGER)) || upper(to_hex(head)) END AS mark
   FROM tree),
 paths AS (
   SELECT conv_id, head, mark AS path, 1 AS depth FROM step WHERE up IS NULL
   UNION ALL SELECT t.conv_id, t.head, p.path || t.mark, p.depth + 1 FROM step t JOIN paths p ON p.conv_id = t.conv_id AND p.head = t.up),
 placed AS (SELECT l.id, max(h.head) AS branch FROM linked l JOIN head h ON h.conv_id = l.conv_id AND h.head <= l.turn GROUP BY l.id)
 SELECT l.conv_id, l.turn, l.role, l.text, l.reply_to, placed.branch, CAST(coalesce(paths.depth, 0) AS INTEGER) AS depth,
-  coalesce(paths.path, '') || '-' || CASE WHEN l.turn IS NULL THEN 'z' ELSE CASE WHEN l.turn < 0 THEN '-' ELSE '0' END || upper(lpad(to_hex(l.turn & 9223372036854775807), 16, '0')) END || l.key AS path,
+  coalesce(paths.path, '') || '-' || CASE WHEN l.turn IS NULL THEN 'z' ELSE CASE WHEN l.turn < 0 THEN chr(CAST(91 - length(to_hex(-1 - l.turn)) AS INTEGER)) || translate(upper(to_hex(-1 - l.turn)), '0123456789ABCDEF', 'FEDCBA9876543210') ELSE chr(CAST(96 + length(to_hex(l.turn)) AS INTEGER)) || upper(to_hex(l.turn)) END END || l.key AS path,
   '<|' || regexp_replace(l.role, '<(\\*)\|', '<\\\1|', 'g') || '|>' || chr(10) || regexp_replace(l.text, '<(\\*)\|', '<\\\1|', 'g') || chr(10) || '<|end|>' AS chat
 FROM linked l LEFT JOIN placed ON placed.id = l.id LEFT JOIN paths ON paths.conv_id = l.conv_id AND paths.head = placed.branch
 """
