@@ -37,6 +37,11 @@ class Spark:
     def day(self, x): return f"date_format({x}, 'yyyy-MM-dd')"
     def maxby(self, v, o): return f"max_by({v}, {o})"
     def try_int(self, x): return f"try_cast({x} as int)"
+    def strip(self, x): return f"regexp_replace({x}, r'^[\\s\\pZ]+|[\\s\\pZ]+$', '')"
+    def plain(self, x): return self.strip(f"coalesce({x}, '')")
+    def after(self, x, c): return f"substr({x}, instr({x}, '{c}') + 1)"
+    def struct(self, **parts): return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + ")"
+    def some(self, x): return f"bool_or({x})"
 
     def once(self, x):
         """A whole number that the optimiser can't see through: what is projected beside it is computed once, not
@@ -73,6 +78,9 @@ class Duck(Spark):
     def day(self, x): return f"strftime({x}, '%Y-%m-%d')"
     def maxby(self, v, o): return f"arg_max({v}, {o})"
     def try_int(self, x): return f"try_cast({x} as integer)"
+    def strip(self, x): return f"regexp_replace({x}, '^[\\s\\pZ]+|[\\s\\pZ]+$', '', 'g')"
+    def after(self, x, c): return f"substr({x}, strpos({x}, '{c}') + 1)"
+    def struct(self, **parts): return "{{" + ", ".join(f"'{k}': {v}" for k, v in parts.items()) + "}}"
     def once(self, x): return x
 
 

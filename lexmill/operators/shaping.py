@@ -56,13 +56,6 @@ TEMPLATES = {
     "sanitize_markdown": lambda d: f"select paper_id, page, {sanitize(d)} as text from {{page}}",
     "join_pages": lambda d: f"select paper_id, {d.gather(chr(99) + 'oncat(' + chr(39) + '*— page ' + chr(39) + ', place, ' + chr(39) + ' —*' + chr(39) + ', chr(10), text)', chr(39) + chr(10) + '---' + chr(10) + chr(39), 'place')} as markdown from (select paper_id, text, row_number() over (partition by paper_id order by page) as place from {{page}} where text <> '') p group by paper_id",
     "page_break_headers": lambda d: "select id, paper_id, page, case when lag(page) over (partition by paper_id order by page, id) = page then 0 else 1 end as header from {passage}",
-    "ocr_valid": lambda d: "select job_id, total_pages, done_pages, total_pages >= 0 and done_pages = total_pages as valid from {job}",
-    "ocr_resume_plan": lambda d: f"select job_id, cast(p - 1 as int) as page from (select job_id, {d.rows(d.upto('cast(done_pages + 1 as int)', 'cast(total_pages as int)'))} as p from {{job}} where done_pages < total_pages) x",
     "reindex_targets": lambda d: "select f.id from {paperfile} f left semi join {paperfile} j on j.hash = f.hash and j.path ilike '%.json' left anti join {passage} s on s.paper_id = f.paper_id where not f.path ilike '%.json'" if d.name == "spark" else "select f.id from {paperfile} f where not f.path ilike '%.json' and exists (select 1 from {paperfile} j where j.hash = f.hash and j.path ilike '%.json') and not exists (select 1 from {passage} s where s.paper_id = f.paper_id)",
-    "baseline_extract": lambda d: f"""select id, {d.extract('date', '(^|[^0-9])(1[5-9][0-9][0-9]|20[0-9][0-9])([^0-9]|$)', 2)} as year_text,
-        rtrim({d.extract('doi', '10[.][0-9]+/[^ ]+', 0)}) as doi from {{paper}}""",
     "content_hash": lambda d: f"select doc_id, {d.sha256('text')} as hash from {{documents}}",
-    "first_year_mode": lambda d: f"""with y as (select paper_id, {d.rows(d.extract_all('text', '[0-9]+', 0))} as y from {{page}}),
-        n as (select paper_id, y, count(*) as n from y group by paper_id, y)
-      select paper_id, y as value, n from (select *, row_number() over (partition by paper_id order by n desc, y) as rn from n) x where rn = 1""",
 }

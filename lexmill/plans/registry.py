@@ -47,13 +47,24 @@ def all_templates() -> dict[str, Template]:
     return out
 
 
+def hand_written() -> tuple[dict, dict[str, Template]]:
+    """Operators written with DataFrames, and the DuckDB SQL that was written beside them."""
+    from ..operators import ocr, people, records
+
+    queries, oracles = {}, {}
+    for module in (people, records, ocr):
+        queries |= module.QUERIES
+        oracles |= module.ORACLES
+    return queries, oracles
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from ..streaming import feeds
 
-    return {n: runner(t) for n, t in all_templates().items()} | feeds.QUERIES
+    return {n: runner(t) for n, t in all_templates().items()} | hand_written()[0] | feeds.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     from ..streaming import feeds
 
-    return {n: duck_sql(t(DUCK)) for n, t in all_templates().items()} | feeds.ORACLES
+    return {n: duck_sql(t(DUCK)) for n, t in all_templates().items()} | {n: duck_sql(t) for n, t in hand_written()[1].items()} | feeds.ORACLES
