@@ -79,7 +79,7 @@ TEMPLATES = {
     "page_slice": lambda d: "select id, title from (select id, title, row_number() over (partition by folder_id order by title, id) as rn from {paper} where folder_id = 203) x where rn between 11 and 20",
     "multi_file_papers": lambda d: "select count(*) as papers, max(n) as most, sum(n) - count(*) as extra from (select paper_id, count(*) as n from {paperfile} where not path ilike '%.json' group by paper_id having count(*) >= 2) x",
     "records_by_source": lambda d: "select source, count(*) as n from {paperbiblio} group by source",
-    "papers_without_files": lambda d: "select p.id from {paper} p where not exists (select 1 from {paperfile} f where f.paper_id = p.id and f.status <> 'failed')",
+    "papers_without_files": lambda d: "select p.id from {paper} p where not exists (select 1 from {paperfile} f where f.paper_id = p.id)",
     "stub_policy": lambda d: "select p.id from {paper} p where p.year is null and not exists (select 1 from {author} a where a.paper_id = p.id)",
     "stub_listing": lambda d: "select p.id from {paper} p where (trim(p.title) = '' or p.year is null) and not exists (select 1 from {author} a where a.paper_id = p.id)",
     "standalone": lambda d: "select p.id, f.id as file_id from {paper} p join {paperfile} f on f.paper_id = p.id where p.zotero_key <> '' and p.zotero_key = f.zotero_key",

@@ -9,35 +9,14 @@ LATEST = "select * from (select f.*, row_number() over (partition by item_key or
 ITEMS = f"select concat('K', item_key) as key, item_key, version, concat('Title ', k) as title, event_type, case when item_key % 3 = 0 then concat('K', item_key % 100) else '' end as parent from ({LATEST}) l"
 
 
-def upsert_items(d: Spark) -> str:
-    """Papers after a batch of items: changed titles replaced, new keys added, the rest as they are."""
-    return f"""with i as ({ITEMS}), p as (select * from {{paper}} where zotero_key <> '')
-      select coalesce(p.zotero_key, i.key) as key, p.id, case when i.key is null then p.title else i.title end as title,
-        case when p.id is null then 'insert' when i.key is not null and p.title <> i.title then 'update' else 'keep' end as change
-      from p full outer join i on i.key = p.zotero_key"""
-
-
-STALE = "select p.id as old_id, max(q.id) as new_id from {paper} p join {paperfile} f on f.paper_id = p.id and f.zotero_key = p.zotero_key join {paper} q on q.id = p.id + 13 where p.zotero_key <> '' group by p.id"
 
 TEMPLATES = {
-    "upsert_items": upsert_items,
-    "upsert_counts": lambda d: f"select change, count(*) as n from ({upsert_items(d)}) x group by change",
     "upsert_collections": lambda d: "with r as (select concat('C', id) as key, upper(name) as name from {folder} where id % 2 = 0 union all select concat('N', id), name from {folder} where id < 4) select coalesce(f.zotero_key, r.key) as key, coalesce(r.name, f.name) as name, f.id, p.id as parent_id from {folder} f full outer join r on r.key = f.zotero_key left join {folder} p on p.id = f.parent_id and p.source_id = f.source_id",
-    "classify_items": lambda d: f"select key, case when event_type = 'purchase' then 'note' when parent <> '' then 'attachment' else 'parent' end as kind from ({ITEMS}) i",
-    "build_items": lambda d: f"with i as ({ITEMS}) select p.key, p.title, coalesce(a.n, 0) as attachments from i p left join (select parent, count(*) as n from i where parent <> '' group by parent) a on a.parent = p.key where p.parent = ''",
-    "orphan_attachments": lambda d: f"with i as ({ITEMS}) select a.key, a.parent from i a where a.parent <> '' and not exists (select 1 from i p where p.key = a.parent and p.parent = '')",
-    "parse_items": lambda d: f"select id, {d.extract('date', '(^|[^0-9])(1[5-9][0-9][0-9]|20[0-9][0-9])([^0-9]|$)', 2)} as year_text, case when title = '' then concat('f', id) else title end as title from {{paper}}",
-    "author_refresh": lambda d: f"select paper_id from (select paper_id, {d.gather('name', chr(39) + '; ' + chr(39), 'ord, id')} as now, {d.gather('upper(name)', chr(39) + '; ' + chr(39), 'ord, id')} as then_ from {{author}} group by paper_id) x where now <> then_",
-    "membership_merge": lambda d: "select paper_id, folder_id from {paperfolder} union select id, 200 + (id + 3) % 25 from {paper} where id % 5 = 0",
-    "attachment_insert": lambda d: f"select i.key, case when i.title ilike '%1' then 'processed' else 'pending' end as status from ({ITEMS}) i where i.parent <> '' and not exists (select 1 from {{paperfile}} f where f.zotero_key = i.key)",
-    "merge_stale": lambda d: f"with m as ({STALE}) select f.id, coalesce(m.new_id, f.paper_id) as paper_id from {{paperfile}} f left join m on m.old_id = f.paper_id",
-    "merge_stale_papers": lambda d: f"with m as ({STALE}) select p.id from {{paper}} p where not exists (select 1 from m where m.old_id = p.id)",
-    "missing_file_backfill": lambda d: "select p.id from {paper} p where p.zotero_key <> '' and not exists (select 1 from {paperfile} f where f.paper_id = p.id and f.zotero_key like 'A%')",
     "title_fallback_match": lambda d: f"with i as (select key, item_key, title from ({ITEMS}) l) select i.key, coalesce(k.id, t.id) as paper_id from i left join {{paper}} k on k.zotero_key = i.key left join (select title, folder_id, min(id) as id from {{paper}} where zotero_key = '' group by title, folder_id) t on t.title = i.title and t.folder_id = 200 + i.item_key % 25",
     "hash_dedup": lambda d: "select id, hash from (select f.*, row_number() over (partition by hash order by path, id) as rn from {paperfile} f) x where rn = 1",
     "cache_reconcile": lambda d: "select f.id, case when j.hash is not null then 'processed' when f.status = 'processed' then 'pending' else f.status end as status from {paperfile} f left join (select distinct hash from {paperfile} where path ilike '%.json') j on j.hash = f.hash where not f.path ilike '%.json'",
     "upload_targets": lambda d: "select f.paper_id, f.hash from {paperfile} f where f.status = 'processed' and not f.path ilike '%.json' and not exists (select 1 from {paperfile} j where j.paper_id = f.paper_id and j.path = concat(f.hash, '.json'))",
-    "skip_existing": lambda d: "select f.paper_id, f.hash from {paperfile} f where not exists (select 1 from {paperbiblio} b where b.paper_id = f.paper_id and b.source = 'sonnet')",
+    "skip_existing": lambda d: "select f.paper_id, f.hash from {paperfile} f where f.status = 'processed' and f.hash <> '' and not f.path ilike '%.json' and not exists (select 1 from {paperbiblio} b where b.paper_id = f.paper_id and b.file_hash = f.hash and b.source = 'haiku')",
     "cascade_delete": lambda d: "select p.id from {paper} p where not exists (select 1 from {folder} o where o.id = p.folder_id and o.source_id = 2)",
     "process_folder_targets": lambda d: "with recursive t as (select id, 0 as depth from {folder} where id = 2 union all select f.id, t.depth + 1 from {folder} f join t on f.parent_id = t.id where t.depth < 64) select f.id, m.folder_id from t join {paperfolder} m on m.folder_id = t.id join {paperfile} f on f.paper_id = m.paper_id where f.status in ('pending', 'failed') and not f.path ilike '%.json'",
     "status_transitions": lambda d: "select id, case when status = 'failed' then 'pending' else status end as status from {paperfile}",

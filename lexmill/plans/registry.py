@@ -49,10 +49,10 @@ def all_templates() -> dict[str, Template]:
 
 def hand_written() -> tuple[dict, dict[str, Template]]:
     """Operators written with DataFrames, and the DuckDB SQL that was written beside them."""
-    from ..operators import ocr, people, records
+    from ..operators import items, ocr, people, records
 
     queries, oracles = {}, {}
-    for module in (people, records, ocr):
+    for module in (people, records, ocr, items):
         queries |= module.QUERIES
         oracles |= module.ORACLES
     return queries, oracles
