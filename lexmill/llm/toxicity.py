@@ -3,11 +3,14 @@
 Words are runs of ``\\w``; a run of more than ``PIECE`` characters counts as words of that length that overlap
 by ``OVERLAP``. A word is a bag of its character n-grams (``GRAMS`` characters with word-end marks) and itself, each hashed
 to a row of an embedding table; a word's vector is the average of its n-grams', a
-passage's the average over its ``WINDOW`` places (a repeated word counts once, an empty place as zero), and
+passage's the average over its ``WINDOW`` places (a repeated word counts once, an empty place as zero) times ``GAIN``, and
 a linear softmax over two classes scores it. Table and softmax are trained jointly in numpy. A text is
 toxic if any passage is: its logit is that of its highest passage, so a few words count as much in a text of
-20,000 words as in one of twenty. Misspelt or inflected forms never seen in training share n-grams with
-known ones, and n-grams dropped at random in training make the model use all of them.
+20,000 words as in one of twenty; an average over the whole text would bury them.
+
+Misspelt or inflected forms never seen in training share n-grams with known ones. To make the model rely on all of them,
+training drops n-grams at random, and misspells: in each epoch a share ``TYPOS`` of the words has a character replaced by one
+that no n-gram knows, so that those across it are gone.
 
 The training texts are a bounded sample: at most ``PER_CLASS`` labelled texts of each class, whole, the ids
 with the smallest hashes. Scoring reads every word of every text. A softmax over an average is linear in
@@ -37,10 +40,14 @@ PER_CLASS = 1_500
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 8
-WINDOW = 8
+WINDOW, GAIN = 2, 2.0
 PIECE, OVERLAP = 64, 16
-EPOCHS = 40
-RATE, DECAY, DROP, HEAT, EPS = 0.1, 1e-5, 0.3, 8.0, 1e-5
+EPOCHS = 80
+RATE, DECAY, DROP, TYPOS, HEAT, EPS = 0.1, 1e-5, 0.3, 0.65, 8.0, 1e-5
+#: Where in the range of thresholds that err least on the sample the one taken lies.
+CUT = 0.1
+#: Fits from different starts whose average scores.
+MODELS = 3
 CACHE_WORDS = 500_000
 
 _WORD = re.compile(r"\w+")
@@ -65,7 +72,7 @@ def buckets_of(word: str) -> list[int]:
 
 @dataclass
 class SubwordModel:
-    """``gram``: log-odds of each bucket; a passage's logit is their average, plus ``bias``."""
+    """``gram``: log-odds of each bucket; a passage's logit is their average times ``GAIN``, plus ``bias``."""
 
     gram: np.ndarray
     bias: float
@@ -108,20 +115,37 @@ def logit(model: SubwordModel, text: bytes, scores: _Scores) -> float:
     if not words:
         return model.bias
     values = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
-    return float(np.nansum(_once(_passages(values)), axis=1).max() / WINDOW) + model.bias
+    return float(np.nansum(_once(_passages(values)), axis=1).max() * GAIN / WINDOW) + model.bias
+
 
+def train(sample: list[tuple[bytes, int]], seed: int = 11, epochs: int = EPOCHS, models: int = MODELS) -> SubwordModel:
+    """The average of ``models`` fits from different starts, which is a model of the same kind, and its threshold."""
+    share = float(np.mean([y for _, y in sample])) if sample else 0.0
+    if not 0 < share < 1:
+        p = min(max(share, 1e-9), 1 - 1e-9)
+        return SubwordModel(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
+    model = SubwordModel(np.zeros(BUCKETS), 0.0)
+    for k in range(models):
+        model.gram += _fit_once(sample, share, seed + k, epochs) / models
+    # Move the threshold to where it errs least on the sample.
+    scores = _Scores(model)
+    top, y = np.array([logit(model, text, scores) for text, _ in sample]), np.array([label for _, label in sample])
+    order = np.unique(top)
+    cuts = np.concatenate([[order[0] - 1], (order[1:] + order[:-1]) / 2, [order[-1] + 1]])
+    up, down = np.sort(top[y == 1]), np.sort(top[y == 0])
+    wrong = np.searchsorted(up, cuts) + len(down) - np.searchsorted(down, cuts)
+    best = cuts[wrong == wrong.min()]
+    model.bias = -float(best[0] + CUT * (best[-1] - best[0]))
+    return model
 
-def train(sample: list[tuple[bytes, int]], seed: int = 11, epochs: int = EPOCHS) -> SubwordModel:
-    """Fit the embedding table and the softmax jointly, by Adam on whole passes over the sample.
+
+def _fit_once(sample: list[tuple[bytes, int]], share: float, seed: int, epochs: int) -> np.ndarray:
+    """The log-odds of the buckets: embedding table and softmax fitted jointly, by Adam on whole passes over the sample.
 
     Passages share their text's label by weight, all alike at first, then more and more the highest. As the
     softmax is linear, a pass needs one number for each bucket, its vector times the difference of the two
     class vectors; the exact gradients of the vectors follow from the gradient of that number.
     """
-    share = float(np.mean([y for _, y in sample])) if sample else 0.0
-    if not 0 < share < 1:
-        p = min(max(share, 1e-9), 1 - 1e-9)
-        return SubwordModel(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
     known: dict[str, int] = {}
     rows, doc_first = [], [0]
@@ -133,15 +157,22 @@ def train(sample: list[tuple[bytes, int]], seed: int = 11, epochs: int = EPOCHS)
     per_doc, doc_first = np.diff(doc_first), np.array(doc_first[:-1])
     doc_of = np.repeat(np.arange(len(rows)), per_doc)
     del rows
-    grams, sizes = array("i"), array("i")
+    grams, sizes, lens, starts, ends = (array("i") for _ in range(5))
     for w in known or {"": 0}:
         b = buckets_of(w)
         grams.extend(b)
         sizes.append(len(b))
+        lens.append(max(1, len(w)))
+        for n in GRAMS:  # which characters a gram covers, in the order of buckets_of
+            starts.extend(range(0, len(w) + 3 - n))
+            ends.extend(range(n, len(w) + 3))
+        starts.append(0)
+        ends.append(len(w) + 2)
     n_grams = np.array(sizes)
     used, flat = np.unique(np.frombuffer(grams, np.int32), return_inverse=True)
     flat = flat.astype(np.int32)
     owner = np.repeat(np.arange(len(sizes), dtype=np.int32), n_grams)
+    lens, starts, ends = (np.array(a) for a in (lens, starts, ends))
     del known, grams, sizes
     y = np.array([label for _, label in sample], np.float64)
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)  # both classes alike
@@ -153,16 +184,18 @@ def train(sample: list[tuple[bytes, int]], seed: int = 11, epochs: int = EPOCHS)
     for epoch in range(epochs):
         keep = rng.random(len(flat)) > DROP
         live = np.maximum(np.bincount(owner, keep, len(n_grams)), 1)
+        typo = np.where(rng.random(len(lens)) < TYPOS, 1 + (rng.random(len(lens)) * lens).astype(np.int32), -1)[owner]
+        keep &= (starts > typo) | (ends <= typo)  # a misspelt word has as many grams as before, but these say nothing
         number = emb @ (soft[1] - soft[0])
         word = np.append(np.bincount(owner, number[flat] * keep, len(n_grams)) / live, 0.0)
-        odds = word[windows].sum(axis=1) / WINDOW + bias[1] - bias[0]
+        odds = word[windows].sum(axis=1) * GAIN / WINDOW + bias[1] - bias[0]
         heat = HEAT * epoch / epochs
         w = np.exp(heat * (odds - np.maximum.reduceat(odds, doc_first)[doc_of]))
         w /= np.add.reduceat(w, doc_first)[doc_of]
         pooled = np.add.reduceat(w * odds, doc_first)
         err = (1 / (1 + np.exp(-np.clip(pooled, -30, 30))) - y) * weight
         g = err[doc_of] * w
-        per_word = np.bincount(windows.ravel() + 1, np.repeat(g / WINDOW, WINDOW), len(n_grams) + 1)[1:] / live
+        per_word = np.bincount(windows.ravel() + 1, np.repeat(g * GAIN / WINDOW, WINDOW), len(n_grams) + 1)[1:] / live
         slope = np.bincount(flat, per_word[owner] * keep, len(used))
         d_emb = slope[:, None] * (soft[1] - soft[0]) + DECAY * emb
         d_soft = np.stack([-(slope @ emb), slope @ emb])
@@ -173,17 +206,7 @@ def train(sample: list[tuple[bytes, int]], seed: int = 11, epochs: int = EPOCHS)
             p -= RATE * (m[0] / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(m[1] / (1 - 0.99 ** (epoch + 1))) + EPS)
     gram = np.zeros(BUCKETS)
     gram[used] = emb @ (soft[1] - soft[0])
-    model = SubwordModel(gram, float(bias[1] - bias[0]))
-    # Move the threshold to where it errs least on the sample; a clean text lost costs twice a toxic one kept.
-    scores = _Scores(model)
-    top = np.array([logit(model, text, scores) for text, _ in sample])
-    order = np.unique(top)
-    cuts = np.concatenate([[order[0] - 1], (order[1:] + order[:-1]) / 2, [order[-1] + 1]])
-    up, down = np.sort(top[y == 1]), np.sort(top[y == 0])
-    wrong = np.searchsorted(up, cuts) + 2 * (len(down) - np.searchsorted(down, cuts))
-    best = cuts[wrong == wrong.min()]
-    model.bias -= float(best[len(best) // 2])
-    return model
+    return gram
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> SubwordModel:

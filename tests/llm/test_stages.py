@@ -34,8 +34,9 @@ def test_toxicity_rejects_what_the_model_scores_high(spark, docs):
                 w = run[at : at + toxicity.PIECE]
                 grams = [f"<{w}>"[i : i + n].encode("utf-16-le", "surrogatepass") for n in toxicity.GRAMS for i in range(len(w) + 3 - n)] + [w.encode()]
                 values.append((w, np.mean([model.gram[zlib.crc32(g) % toxicity.BUCKETS] for g in grams])))
-        best = max((sum(dict(values[at : at + 8]).values()) for at in range(0, max(1, len(values) - 4), 4)), default=0.0)
-        return best / 8 + model.bias
+        n, step = toxicity.WINDOW, toxicity.WINDOW // 2
+        best = max((sum(dict(values[at : at + n]).values()) for at in range(0, max(1, len(values) - step), step)), default=0.0)
+        return best * toxicity.GAIN / n + model.bias
 
     z = {d: brute(t) for d, t in all_texts.items()}
     assert all(v < 0 for d, v in z.items() if d in got and abs(v) > 1e-9) and all(v > 0 for d, v in z.items() if d not in got and abs(v) > 1e-9)
