@@ -15,8 +15,9 @@ pattern nor a special token reaches across ASCII white space. ASCII case and a t
 after an ASCII letter or digit are split off first (texts with ``<|`` excepted, for special tokens are
 matched as written), which makes the word table smaller and changes no id.
 
-Decoding joins every id to its piece. The id-to-piece table has one row for each id of the vocabulary
-(49,408 here), a size that doesn't depend on the data, so it is broadcast.
+Decoding joins every id to its piece: a broadcast join. The id-to-piece table has one row for each id of the vocabulary
+(49,408 here), a size that doesn't depend on the data, so it is sent to every task; its keys are 0, 1, 2 and so on, so the
+join's hash table is an array that a text's ids are looked up in, in order.
 
 Defined results: a null text is an empty one; an empty text has no ids and decodes to ""; repeated rows and
 null ids are rows like any other; an id outside the vocabulary decodes to nothing; other columns of the
@@ -37,11 +38,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, text_bytes
 
 CHUNK_WORDS = 3_000_000
 ROW_WORDS = 400_000
 ROW_DOCS = 4_000
+#: Bytes of distinct words that a bucket holds, about; they take up a tenth of the texts or less.
+BUCKET = 16 << 20
 #: The tokenizer's parts for which words can be encoded alone.
 NORMALIZERS = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace"}
 
@@ -218,13 +221,13 @@ def _joiner(texts: pa.Table, coded: pa.Table) -> pa.Table:
 def bpe_encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", n_buckets: int | None = None) -> DataFrame:
     """``doc_id`` and ``ids`` of every row: the token ids as little-endian unsigned 32-bit integers.
 
-    ``n_buckets`` deals out the distinct words; by default the session's shuffle width, so that a bucket is
-    as large as any other shuffle partition of the cluster.
+    ``n_buckets`` deals out the distinct words; by default as many as keep a bucket at ``BUCKET`` bytes however large the
+    corpus is, and the session's shuffle width at least.
     """
     spark = df.sparkSession
-    n_buckets = n_buckets or partitions(spark)
     spec = spark.sparkContext.broadcast(tokenizer_json(tokenizer_path))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    n_buckets = n_buckets or max(partitions(spark), -(-text_bytes(rows) // (10 * BUCKET)))
     split = materialize(rows.mapInArrow(_splitter(n_buckets), "chunk long, kind int, bucket int, ids array<long>, lens binary, body binary"))
     coded = (
         split.where("kind = 2").select("chunk", "bucket", "body").groupBy("bucket")

@@ -53,6 +53,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def join_spread(rows: DataFrame, of: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """The inner join of ``rows`` with ``of`` (one row for each ``key``) in which no key is one task's alone.
+
+    ``counts``: ``key`` and ``n``, the number of rows. Keys with more than an eighth of an even share of the rows are fewer than eight
+    for each partition, so their part of ``of`` is broadcast and their rows stay where they are; the others are shuffled.
+    """
+    spark = rows.sparkSession
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("n") > max(256, total // (8 * partitions(spark)))).select(key))
+    rest = rows.join(hot, key, "left_anti").join(of, key)
+    return rest.unionByName(rows.join(hot, key, "left_semi").join(F.broadcast(of.join(hot, key, "left_semi")), key))
+
+
 def partitions(spark: SparkSession) -> int:
     """The shuffle width the cluster is configured for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,17 +10,25 @@ posterior . e of each document, and projects its new rate to zero or more. Only
 matrix, a few numbers, come to the driver. A rate depends on a document's posteriors and the list of
 misfits alone, so it is worked out from them wherever it is needed, and a lost executor loses nothing.
 
+Rounds go on until the misfit (the sum of absolute differences between weights) is below ``TOLERANCE``, or until a round
+takes less than a thousandth off it: with rates of zero or more, targets can be out of reach. ``misfit`` of the fitted model says what is
+left, and a warning if that is more than ``WORTH_SAYING``.
+
+A text counts as ``EVIDENCE`` independent words at most when its posterior is worked out, so long texts aren't taken
+for surer than they are; its tokens all count.
+
 ``total`` says how many tokens the mixture has: "same" as the input, or "grow": the least total at which no
 domain needs less than it has, so that nothing is thinned out.
 
 Defined results: a null or empty text has no tokens, prior posteriors, and no part in the totals; domains
 absent from the labelled sample can't be met and their weight goes to the others in proportion; with no
-domain at all, every rate is one. Repeated rows count each; null ids are kept; other columns are ignored by
+domain at all, every rate is one. Without stated domains all of the labelled table's count (``MOST_DOMAINS`` at most, more are an error). Repeated rows count each; null ids are kept; other columns are ignored by
 :func:`rates` and passed through by :func:`apply_rates`; empty tables give empty tables.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from dataclasses import dataclass, field
 
@@ -33,8 +41,11 @@ from .common import materialize
 
 PER_DOMAIN = 600
 BITS = 16
-ROUNDS = 30
-TOLERANCE = 1e-6
+TOLERANCE, WORTH_SAYING = 1e-6, 1e-3
+#: Domains that a model can tell apart: its table has 2 ** BITS numbers for each.
+MOST_DOMAINS = 256
+#: Rows of a batch that rows are repeated into.
+ROWS = 1_024
 CACHE_WORDS = 500_000
 #: Posteriors are tempered: a text counts as this many independent words at most.
 EVIDENCE = 12.0
@@ -50,12 +61,13 @@ class _Buckets(dict):
 
 @dataclass
 class DomainModel:
-    """Log-probabilities of hashed words for each domain, and the fitted history of misfits."""
+    """Log-probabilities of hashed words for each domain, the fitted history of misfits, and the misfit that is left."""
 
     domains: list[str]
     log_word: np.ndarray
     log_prior: np.ndarray
     history: list[list[float]] = field(default_factory=list)
+    misfit: float = 0.0
 
     def posterior(self, text: bytes, buckets: _Buckets) -> tuple[int, np.ndarray]:
         """Number of tokens, and the posterior of each domain."""
@@ -93,7 +105,10 @@ def fit(labelled: DataFrame, per_domain: int = PER_DOMAIN, id_col: str = "doc_id
     """Fit on at most ``per_domain`` whole texts of each of the stated domains, the ids with the smallest hashes."""
     rows = labelled.where(F.col(id_col).isNotNull() & F.col(domain_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(domain_col).cast("string").alias("_d"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    domains = domains if domains is not None else [r["_d"] for r in rows.groupBy("_d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_d").limit(64).collect()]
+    if domains is None:
+        domains = sorted(r["_d"] for r in rows.select("_d").distinct().limit(MOST_DOMAINS + 1).collect())
+        if len(domains) > MOST_DOMAINS:
+            raise ValueError(f"more than {MOST_DOMAINS} domains; state which ones count")
     chosen = None
     for d in domains:
         part = rows.where(F.col("_d") == d).select("_id", "_d").distinct().orderBy(F.xxhash64("_id"), "_id").limit(per_domain)
@@ -129,7 +144,7 @@ def _rate(history: list[list[float]]) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - dot(e)))
 
 
-def fit_rates(table: DataFrame, model: DomainModel, targets: dict[str, float], total: str = "same", rounds: int = ROUNDS) -> DomainModel:
+def fit_rates(table: DataFrame, model: DomainModel, targets: dict[str, float], total: str = "same", tolerance: float = TOLERANCE) -> DomainModel:
     """``model`` with the history of misfits that takes the totals of ``table`` to the target weights."""
     names = model.domains
     k = len(names)
@@ -151,15 +166,22 @@ def fit_rates(table: DataFrame, model: DomainModel, targets: dict[str, float], t
         g[i, j] = g[j, i] = got[f"g{i}_{j}"] / size
     norm = np.linalg.pinv(g + 1e-9 * np.eye(k))
     history: list[list[float]] = []
-    now = start
-    for _ in range(rounds):
-        misfit = now / size - weights
-        if np.abs(misfit).sum() < TOLERANCE:
+    now, before = start, float("inf")
+    while True:
+        e = now / size - weights
+        misfit = float(np.abs(e).sum())
+        if misfit < tolerance or misfit > 0.999 * before:
             break
-        history.append([float(f"{x:.9g}") for x in norm @ misfit])
+        before = misfit
+        history.append([float(f"{x:.9g}") for x in norm @ e])
         moved = have.withColumn("r", _rate(history)).agg(*(F.sum(F.col("r") * F.col("tokens") * F.get("posterior", F.lit(i))).alias(f"s{i}") for i in range(k))).first()
         now = np.array([moved[f"s{i}"] for i in range(k)])
-    return DomainModel(names, model.log_word, model.log_prior, history)
+    if misfit > before:  # the last step made it worse
+        history.pop()
+        misfit = before
+    if misfit > WORTH_SAYING:
+        warnings.warn(f"the target weights are out of reach: the misfit left is {misfit:.4f}", stacklevel=2)
+    return DomainModel(names, model.log_word, model.log_prior, history, misfit)
 
 
 def rates(df: DataFrame, model: DomainModel, targets: dict[str, float], total: str = "same", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DomainModel]:
@@ -177,7 +199,8 @@ def copies(rate: float, key: int, at_least: int = 0) -> int:
 def apply_rates(df: DataFrame, model: DomainModel, at_least: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df``, all columns, with each row as many times as its rate says, rounded by a hash of id and text.
 
-    ``at_least``: 1 keeps every row.
+    ``at_least``: 1 keeps every row. Posteriors are worked out again from the text, where it is read: looking rates up would
+    take a shuffle of all texts, and ids may repeat.
     """
     at_text, at_id = df.columns.index(text_col), df.columns.index(id_col)
 
@@ -189,6 +212,8 @@ def apply_rates(df: DataFrame, model: DomainModel, at_least: int = 0, id_col: st
                 b = t.as_py() or b""
                 p = model.posterior(b, buckets)[1]
                 times.append(copies(model.rate(p), zlib.crc32(b, zlib.crc32(str(doc).encode())), at_least))
-            yield batch.take(pa.array(np.repeat(np.arange(len(times)), times)))
+            at = np.repeat(np.arange(len(times)), times)
+            for lo in range(0, len(at), ROWS):
+                yield batch.take(pa.array(at[lo : lo + ROWS]))
 
     return df.mapInArrow(scan, df.schema)

@@ -15,8 +15,9 @@ on all 64 bits, so the pairs found are exactly the links. Where a half can't div
 fingerprints share it) the node measures all 64 bits instead, with radius r.
 
 The trees are fitted on a bounded sample of distinct fingerprints (``SAMPLE``); every fingerprint is then
-routed. A tree only decides where comparisons take place, never which links exist. A shard emits a
-spanning forest of its links, not its pairs, and components are found by distributed rounds.
+routed. A tree only decides where comparisons take place, never which links exist. Where a corpus has more than ``SAMPLE`` shards'
+worth of fingerprints, shards grow; a shard's task then grows trees of its own over those who live there, and compares
+leaf by leaf. A shard emits a spanning forest of its links, not its pairs, and components are found by distributed rounds.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, join_spread, materialize
 from .components import connected_components
 
 BITS = 3
@@ -168,6 +169,25 @@ def forest(fps: np.ndarray, lives: np.ndarray, bits: int = BITS) -> tuple[np.nda
     return member, label[member]
 
 
+def shard_links(fps: np.ndarray, lives: np.ndarray, mask: np.uint64, bits: int = BITS, size: int = 4 * SHARD) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The links of a shard as (member, root) pairs of fingerprints; ``fps`` distinct and sorted."""
+    if int(lives.sum()) <= size:
+        a, b = forest(fps, lives, bits)
+        return [(fps[a], fps[b])]
+    tree = VantageTree(fps[lives], mask, SHARD, bits)
+    home = tree.home(fps)
+    at, leaf = tree.reach(fps)
+    order = np.lexsort((at, leaf))
+    at, leaf = at[order], leaf[order]
+    cut = np.flatnonzero(np.diff(leaf)) + 1
+    out = []
+    for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
+        part = at[lo:hi]
+        a, b = forest(fps[part], lives[part] & (home[part] == leaf[lo]), bits)
+        out.append((fps[part][a], fps[part][b]))
+    return out
+
+
 def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``fps`` (fp long, distinct) at ``bits`` or fewer."""
     total = fps.count()
@@ -188,9 +208,9 @@ def near_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(x := pdf["fp"].to_numpy(np.int64).view(np.uint64))
-        x = x[order]
-        a, b = forest(x, pdf["home"].to_numpy(bool)[order], bits)
-        return pd.DataFrame({"a": x[a].view(np.int64), "b": x[b].view(np.int64)})
+        mask = _HIGH if pdf["shard"].iloc[0] % 2 else _LOW
+        a, b = (np.concatenate(c) for c in zip(*shard_links(x[order], pdf["home"].to_numpy(bool)[order], mask, bits), strict=True))
+        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return fps.mapInArrow(route, "shard long, fp long, home boolean").groupBy("shard").applyInPandas(link, "a long, b long")
 
@@ -203,13 +223,13 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id. Repeated rows stay repeated. Other columns are ignored. An empty table gives an empty table.
     """
     rows = materialize(fingerprints(df, id_col, text_col, n))
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     roots = connected_components(near_links(distinct.select("fp"), bits))
     near = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = near.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = near.join(least, "root").select("fp", "component_id")
     of = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id")
+    return join_spread(rows, of, "fp", distinct.select("fp", "n")).select("doc_id", "fp", "component_id")
 
 
 def hex16(col: str) -> F.Column:
@@ -223,11 +243,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", grou
     Of rows that repeat that id one stays, the one with the smallest hash of its text. Rows whose id is null
     can't be told apart and all stay.
     """
+    key, n, hashed, row = fresh(df, "kept_id", "kept_n", "kept_hash", "kept_row")
     chosen = groups(df.where(F.col(id_col).isNotNull()), id_col, text_col).where("doc_id = component_id")
-    chosen = chosen.groupBy(F.col("component_id").alias("_id")).agg(F.count("*").alias("_n"))
-    kept = df.join(chosen, df[id_col] == F.col("_id"), "inner")
+    chosen = chosen.groupBy(F.col("component_id").alias(key)).agg(F.count("*").alias(n))
+    kept = df.join(chosen, F.col(id_col) == F.col(key), "inner")
     # Only ids that occur more than once pass through the aggregate; they are few, and each keeps one row.
-    once = kept.where("_n = 1").select(*[df[c] for c in df.columns])
-    many = kept.where("_n > 1").select(F.xxhash64(F.col(text_col)).alias("_h"), F.struct(*[df[c] for c in df.columns]).alias("_row"), "_id")
-    many = many.groupBy("_id").agg(F.min_by("_row", "_h").alias("_row")).select("_row.*")
+    once = kept.where(F.col(n) == 1).select(*df.columns)
+    many = kept.where(F.col(n) > 1).select(F.xxhash64(F.col(text_col)).alias(hashed), F.struct(*df.columns).alias(row), key)
+    many = many.groupBy(key).agg(F.min_by(row, hashed).alias(row)).select(f"{row}.*")
     return once.unionByName(many).unionByName(df.where(F.col(id_col).isNull()))
