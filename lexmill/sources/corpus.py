@@ -17,6 +17,8 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 def views(d: Spark) -> dict[str, str]:
     """The sample corpus as SELECTs over the driver's tables and each other."""
+    from ..operators.shaping import split_passages
+
     clean = d.split(d.replace("text", "[^\\pL\\pN \\n]", ""), "[ \\n]+")
     years = "1850 + doc_id % 170"
     return {
@@ -64,7 +66,7 @@ def views(d: Spark) -> dict[str, str]:
             left join (select paper_id, {d.gather("concat(split_part(name, ', ', 2), ' ', split_part(name, ', ', 1))", "'; '", 'ord')} as names from {{author}} group by paper_id) a on a.paper_id = p.id""",
         "page": f"""select doc_id as paper_id, p as page, replace(substr(text, 1500 * p + 1, 1500), chr(10), concat(chr(10), chr(10))) as text from (
             select doc_id, text, {d.rows(d.upto('0', 'cast(floor((length(text) - 1) / 1500.0) as int)'))} as p from {{documents}} where length(text) > 0) x""",
-        "passage": "select paper_id * 1000 + page as id, paper_id, page + 1 as page, text from {page}",
+        "passage": f"select (paper_id * 1000 + page) * 10000 + place as id, paper_id, page, text from ({split_passages(d)}) s",
         "job": """select o.o_orderkey as job_id, o.o_custkey % 3 as client_id,
               case o.o_orderstatus when 'O' then 'queued' when 'P' then 'processing' else 'done' end as status,
               coalesce(l.n, 0) as total_pages, coalesce(l.done, 0) as done_pages
