@@ -93,12 +93,6 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("conv_id", "turn", "role", "text", "reply_to", "branch", "depth", "path", "chat")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict:
     return {
         "op1_bpe": op1_bpe,
@@ -111,7 +105,6 @@ def queries() -> dict:
         "op8_quality_model": op8_quality_model,
         "op9_warc": op9_warc,
         "op10_chat": op10_chat,
-        "pipeline": pipeline,
     }
 
 
