@@ -27,38 +27,24 @@ def listing(d: Spark, where: str = "true") -> str:
       left join ({PRIMARY}) f on f.paper_id = p.id left join (select distinct paper_id from {{paperbiblio}} where status = 'applied') a on a.paper_id = p.id where {where}"""
 
 
-TREE = "with recursive t as (select id, source_id, name, 0 as depth, name as path from {folder} where parent_id is null union all select f.id, f.source_id, f.name, t.depth + 1, concat(t.path, ' › ', f.name) from {folder} f join t on f.parent_id = t.id where t.depth < 64) select * from t"
+#: A folder whose parent lies in another source, or nowhere, is a root. There is no cap on the depth: what is deeper than the engine's
+#: limit of recursion is an error, not left out. Folders that are their own ancestors hang on no root and have no row.
+TREE = """with recursive t as (select f.id, f.source_id, f.name, 0 as depth, f.name as path from {folder} f left join {folder} p on p.id = f.parent_id and p.source_id = f.source_id where p.id is null
+  union all select f.id, f.source_id, f.name, t.depth + 1, concat(t.path, ' › ', f.name) from {folder} f join t on f.parent_id = t.id and f.source_id = t.source_id) select * from t"""
 
 
 def below(root: int) -> str:
-    return f"with recursive t as (select id, 0 as depth from {{folder}} where id = {root} union all select f.id, t.depth + 1 from {{folder}} f join t on f.parent_id = t.id where t.depth < 64) select id, depth from t"
+    return f"with recursive t as (select id, 0 as depth from {{folder}} where id = {root} union all select f.id, t.depth + 1 from {{folder}} f join t on f.parent_id = t.id) select id, depth from t"
 
 
-LIBRARY = {
-    "all": "select count(*) as n from {paper}",
-    "pending": "select count(distinct paper_id) as n from {paperfile} where status = 'pending'",
-    "failed": "select count(distinct paper_id) as n from {paperfile} where status = 'failed'",
-    "processed": "select count(distinct paper_id) as n from {paperfile} where status = 'processed'",
-    "needs_review": "select count(distinct paper_id) as n from {paperbiblio} where status = 'needs_review'",
-    "recent": f"select count(*) as n from {{paper}} where created_at >= {AS_OF} - interval 30 day",
-}
-STATS = LIBRARY | {
-    "sources": "select count(*) as n from {source}", "folders": "select count(*) as n from {folder}", "files": "select count(*) as n from {paperfile}",
-    "passages": "select count(*) as n from {passage}", "authors": "select count(*) as n from {author}", "records": "select count(*) as n from {paperbiblio}",
-    "json_files": "select count(*) as n from {paperfile} where path ilike '%.json'", "no_year": "select count(*) as n from {paper} where year is null",
-    "no_title": "select count(*) as n from {paper} where title = ''", "no_doi": "select count(*) as n from {paper} where doi = ''",
-    "standalone": "select count(*) as n from {paper} p join {paperfile} f on f.paper_id = p.id where p.zotero_key <> '' and p.zotero_key = f.zotero_key",
-    "applied_papers": "select count(distinct paper_id) as n from {paperbiblio} where status = 'applied'",
-}
-
-
-def long_counts(parts: dict[str, str]) -> str:
-    return " union all ".join(f"select '{k}' as metric, n as value from ({q}) {k}_q" for k, q in parts.items())
+def page_slice(page: int, size: int = 10) -> str:
+    """One page of a folder's papers by title; a page below the first or beyond the last is the first or the last."""
+    at = f"least(greatest({page}, 1), greatest(1, ceil(cast(n as double) / {size})))"
+    return f"""select id, title from (select id, title, row_number() over (partition by folder_id order by title, id) as rn, count(*) over (partition by folder_id) as n from {{paper}} where folder_id = 203) x
+      where rn > ({at} - 1) * {size} and rn <= {at} * {size}"""
 
 
 TEMPLATES = {
-    "library_counts": lambda d: long_counts(LIBRARY),
-    "db_stats": lambda d: long_counts(STATS),
     "corpus_counts": lambda d: "select (select count(*) from {source}) as sources, (select count(*) from {paper}) as papers, (select count(*) from {paperfile}) as files",
     "list_all": lambda d: f"select * from ({listing(d)}) x order by id desc limit 500",
     "list_pending": lambda d: listing(d, "p.id in (select paper_id from {paperfile} where status = 'pending')"),
@@ -76,7 +62,8 @@ TEMPLATES = {
     "folder_descendants": lambda d: below(2),
     "folder_roots": lambda d: "select id, name, source_id, count(*) over (partition by source_id) as roots from {folder} where parent_id is null",
     "folder_status_matrix": lambda d: "select o.id, o.name, coalesce(p.n, 0) as papers, coalesce(f.pending, 0) as pending, coalesce(f.processed, 0) as processed, coalesce(f.failed, 0) as failed from {folder} o left join (select folder_id, count(*) as n from {paper} group by folder_id) p on p.folder_id = o.id left join (select p.folder_id, count(case when f.status = 'pending' then 1 end) as pending, count(case when f.status = 'processed' then 1 end) as processed, count(case when f.status = 'failed' then 1 end) as failed from {paper} p join {paperfile} f on f.paper_id = p.id group by p.folder_id) f on f.folder_id = o.id",
-    "page_slice": lambda d: "select id, title from (select id, title, row_number() over (partition by folder_id order by title, id) as rn from {paper} where folder_id = 203) x where rn between 11 and 20",
+    "page_slice": lambda d: page_slice(99),
+    "folder_totals": lambda d: "select count(*) as folders, sum(coalesce(p.n, 0)) as papers, sum(coalesce(f.n, 0)) as files from {folder} o left join (select folder_id, count(*) as n from {paper} group by folder_id) p on p.folder_id = o.id left join (select p.folder_id, count(*) as n from {paper} p join {paperfile} f on f.paper_id = p.id group by p.folder_id) f on f.folder_id = o.id",
     "multi_file_papers": lambda d: "select count(*) as papers, max(n) as most, sum(n) - count(*) as extra from (select paper_id, count(*) as n from {paperfile} where not path ilike '%.json' group by paper_id having count(*) >= 2) x",
     "records_by_source": lambda d: "select source, count(*) as n from {paperbiblio} group by source",
     "papers_without_files": lambda d: "select p.id from {paper} p where not exists (select 1 from {paperfile} f where f.paper_id = p.id)",
@@ -87,7 +74,7 @@ TEMPLATES = {
     "key_or_name_lookup": lambda d: "select wanted, id from (select w.wanted, f.id, row_number() over (partition by w.wanted order by case when f.zotero_key = w.wanted then 0 else 1 end, f.id) as rn from (select 'C105' as wanted union all select 'FRANCE' union all select 'nothing') w join {folder} f on f.zotero_key = w.wanted or f.name = w.wanted) x where rn = 1",
     "papers_per_source": lambda d: "select s.id, count(p.id) as papers from {source} s left join {folder} o on o.source_id = s.id left join {paper} p on p.folder_id = o.id group by s.id",
     "papers_with_files": lambda d: "select p.id, f.id as file_id from {paper} p left join {paperfile} f on f.paper_id = p.id",
-    "status_share": lambda d: "select status, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (partition by 1), 6) as share from {paperfile} group by status",
+    "status_share": lambda d: "select status, n, share, concat(lpad(cast(cast(round(share, 1) as decimal(5, 1)) as varchar(9)), 5, ' '), '%') as shown from (select status, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (partition by 1), 6) as share from {paperfile} group by status) x",
     "missing_metadata": lambda d: "select id from {paper} where title = '' or year is null",
     "title_contains": lambda d: "select id from {paper} where title ilike '%the%' and journal ilike '%src1%'",
     "sources_sorted": lambda d: "select id, name, row_number() over (partition by 1 order by source_type, name) as place from {source}",

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from ..functions.dialect import Spark
 from .names import author_scores
+from .resolve import CJK
 
 #: Weights of the fields in the overall score.
 WEIGHTS = {"title": 0.35, "authors": 0.30, "year": 0.15, "journal": 0.10, "doi": 0.10}
-STRATA = {"cjk": 0.10, "old": 0.15, "no_journal": 0.10}
+#: Shares of the strata of a sample; the rest has a journal.
+STRATA = {"cjk": 0.10, "old": 0.10, "no_journal": 0.15}
 
 
 def normal(d: Spark, x: str) -> str:
@@ -41,7 +43,7 @@ def stratified(d: Spark, n: int = 60, seed: int = 42) -> str:
     want = {k: int(v * n) for k, v in STRATA.items()}
     want["with_journal"] = n - sum(want.values())
     quota = "case stratum " + " ".join(f"when '{k}' then {v}" for k, v in want.items()) + " end"
-    return f"""with c as (select id, case when {d.like('title', '[一-鿿]')} then 'cjk' when year < 1960 then 'old' when journal = '' then 'no_journal' else 'with_journal' end as stratum,
+    return f"""with c as (select id, case when {d.like('title', f'[{CJK}]')} then 'cjk' when year < 1960 then 'old' when journal = '' then 'no_journal' else 'with_journal' end as stratum,
           md5(concat('{seed}:', id)) as h from {{paper}} where title <> '' and year is not null),
         r as (select *, row_number() over (partition by stratum order by h, id) as rn from c),
         f as (select *, rn <= {quota} as picked from r),
@@ -57,6 +59,6 @@ TEMPLATES = {
     "overall_score": overall_score,
     "score_means": lambda d: f"select count(*) as n, round(avg(title), 6) as title, round(avg(year), 6) as year, round(avg(journal), 6) as journal, round(avg(doi), 6) as doi, round(avg(case when title >= 0.8 then 1e0 else 0e0 end), 6) as title_hits from ({field_scores(d)}) x",
     "stratified_sample": stratified,
-    "eval_candidates": lambda d: "select distinct p.id from {paper} p join {paperfile} f on f.paper_id = p.id join {folder} o on o.id = p.folder_id join {source} s on s.id = o.source_id where s.source_type = 'zotero' and f.status = 'processed' and f.hash <> '' and p.title <> '' and p.year is not null",
+    "eval_candidates": lambda d: "select distinct p.id from {paper} p join {paperfile} f on f.paper_id = p.id join {folder} o on o.id = p.folder_id join {source} s on s.id = o.source_id join {author} a on a.paper_id = p.id where s.source_type = 'zotero' and f.status = 'processed' and f.hash <> '' and p.title <> '' and p.year is not null",
     "normalize_text": lambda d: f"select id, {normal(d, 'title')} as title from {{paper}}",
 }

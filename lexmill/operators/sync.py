@@ -18,7 +18,7 @@ TEMPLATES = {
     "upload_targets": lambda d: "select f.paper_id, f.hash from {paperfile} f where f.status = 'processed' and not f.path ilike '%.json' and not exists (select 1 from {paperfile} j where j.paper_id = f.paper_id and j.path = concat(f.hash, '.json'))",
     "skip_existing": lambda d: "select f.paper_id, f.hash from {paperfile} f where f.status = 'processed' and f.hash <> '' and not f.path ilike '%.json' and not exists (select 1 from {paperbiblio} b where b.paper_id = f.paper_id and b.file_hash = f.hash and b.source = 'haiku')",
     "cascade_delete": lambda d: "select p.id from {paper} p where not exists (select 1 from {folder} o where o.id = p.folder_id and o.source_id = 2)",
-    "process_folder_targets": lambda d: "with recursive t as (select id, 0 as depth from {folder} where id = 2 union all select f.id, t.depth + 1 from {folder} f join t on f.parent_id = t.id where t.depth < 64) select f.id, m.folder_id from t join {paperfolder} m on m.folder_id = t.id join {paperfile} f on f.paper_id = m.paper_id where f.status in ('pending', 'failed') and not f.path ilike '%.json'",
+    "process_folder_targets": lambda d: "with recursive t as (select id, 0 as depth from {folder} where id = 2 union all select f.id, t.depth + 1 from {folder} f join t on f.parent_id = t.id) select f.id, m.folder_id from t join {paperfolder} m on m.folder_id = t.id join {paperfile} f on f.paper_id = m.paper_id where f.status in ('pending', 'failed') and not f.path ilike '%.json'",
     "status_transitions": lambda d: "select id, case when status = 'failed' then 'pending' else status end as status from {paperfile}",
     "queue_depth": lambda d: "select client_id, sum(greatest(0, total_pages - done_pages)) as remaining, count(case when status in ('queued', 'processing') then 1 end) as active from {job} group by client_id",
     "retry_newest_attempt": lambda d: "select job_id, status from (select job_id, status, row_number() over (partition by job_id order by attempt desc) as rn from (select job_id, status, 0 as attempt from {job} union all select job_id, 'done' as status, 1 as attempt from {job} where status = 'processing') a) x where rn = 1",
