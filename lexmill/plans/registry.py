@@ -49,10 +49,10 @@ def all_templates() -> dict[str, Template]:
 
 def hand_written() -> tuple[dict, dict[str, Template]]:
     """Operators written with DataFrames, and the DuckDB SQL that was written beside them."""
-    from ..operators import index, items, ocr, people, records, stats
+    from ..operators import index, items, ocr, people, records, stats, writeback
 
     queries, oracles = {}, {}
-    for module in (people, records, ocr, items, index, stats):
+    for module in (people, records, ocr, items, index, stats, writeback):
         queries |= module.QUERIES
         oracles |= module.ORACLES
     return queries, oracles
