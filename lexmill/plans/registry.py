@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from ..streaming import feeds
 
-    return {n: duck_sql(t(DUCK)) for n, t in all_templates().items()} | {n: duck_sql(t) for n, t in hand_written()[1].items()} | feeds.ORACLES
+    return {n: duck_sql(t(DUCK)) for n, t in all_templates().items()} | {n: duck_sql(t) for n, t in (hand_written()[1] | feeds.ORACLES).items()}
