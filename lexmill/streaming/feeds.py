@@ -200,8 +200,8 @@ ORACLES = {
     "stream_late_attachments": f"with {items._WITH} select distinct key, parent_item as paper_key, parent_item in (select zotero_key from {{paper}}) as placed from att where parent_item not in (select key from par)",
     "stream_enqueued": "select event_type, min(event_id) as event_id from {events} group by event_type",
     "admitted_jobs": "select client_id, job_id, before from (select client_id, job_id, coalesce(sum(r) over (partition by client_id order by job_id rows between unbounded preceding and 1 preceding), 0) as before from (select *, greatest(0, total_pages - done_pages) as r from {job} where status <> 'done') j) x where before < 40",
-    "poll_outcomes": f"""with p as ({POLLS}), e as (select *, lag(status, 1, 'x') over (partition by job_id order by at) as s1, lag(status, 2, 'x') over (partition by job_id order by at) as s2 from p),
-        o as (select job_id, at, case status when 'done' then 'done' when 'failed' then 'failed' else case when status is null and s1 is null and s2 is null then 'unreachable' end end as outcome from e)
-      select job_id, min(at) as at, arg_min(outcome, at) as outcome from o where outcome is not null group by job_id""",
+    "poll_outcomes": f"""with p as ({POLLS}), e as (select *, lag(status, 1, 'x') over (partition by job_id order by "at") as s1, lag(status, 2, 'x') over (partition by job_id order by "at") as s2 from p),
+        o as (select job_id, "at", case status when 'done' then 'done' when 'failed' then 'failed' else case when status is null and s1 is null and s2 is null then 'unreachable' end end as outcome from e)
+      select job_id, min("at") as "at", arg_min(outcome, "at") as outcome from o where outcome is not null group by job_id""",
     "extract_queue": "select distinct paper_id, hash from {paperfile} f where status = 'processed' and hash <> '' and not path ilike '%.json' and not exists (select 1 from {paperbiblio} b where b.paper_id = f.paper_id and b.file_hash = f.hash)",
 }
