@@ -9,17 +9,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch. Spark's 64 MB are held several times over, by the JVM and by each Python worker.
+BATCH = "8m"
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in Arrow batches of ``BATCH``, unless the cluster's configuration has a size of its own."""
+    if spark.sparkContext.getConf().get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, BATCH)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Leave the cluster's ``spark.checkpoint.dir`` alone; set a folder only where none is set (tests)."""
+    """Leave the cluster's ``spark.checkpoint.dir`` alone; set a folder only where none is set and one machine does everything (tests)."""
     sc = spark.sparkContext
     if sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined():
         return
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-checkpoint-"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, into the shared checkpoint folder, and cut its lineage there."""
     ensure_checkpoint_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -50,6 +64,7 @@ def text_bytes(rows: DataFrame, text_col: str = "text") -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -86,6 +101,7 @@ def labelled_sample(
     partitioning. Rows whose id or label is null don't count; an id labelled twice takes the larger label;
     an id with several texts gives its smallest one. The result is bounded by 2 * ``per_class`` rows.
     """
+    small_batches(docs.sparkSession)
     ranked = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & keep)
     ranked = ranked.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     chosen = None

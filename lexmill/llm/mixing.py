@@ -46,7 +46,7 @@ TOLERANCE, WORTH_SAYING = 1e-6, 1e-3
 MOST_DOMAINS = 256
 #: Rows of a batch that rows are repeated into.
 ROWS = 1_024
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Posteriors are tempered: a text counts as this many independent words at most.
 EVIDENCE = 12.0
 

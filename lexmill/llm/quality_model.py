@@ -32,7 +32,7 @@ BUCKETS = 1 << BITS
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 SCALE = 25.0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Odd multipliers that mix a token number, and a pair of them, into a bucket.

@@ -48,7 +48,7 @@ RATE, DECAY, DROP, TYPOS, HEAT, EPS = 0.1, 1e-5, 0.3, 0.65, 8.0, 1e-5
 CUT = 0.1
 #: Fits from different starts whose average scores.
 MODELS = 3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"\w+")
 
@@ -155,9 +155,10 @@ def _fit_once(sample: list[tuple[bytes, int]], share: float, seed: int, epochs:
         doc_first.append(doc_first[-1] + len(rows[-1]))
     windows = np.concatenate(rows)  # word numbers; -1 for none
     per_doc, doc_first = np.diff(doc_first), np.array(doc_first[:-1])
-    doc_of = np.repeat(np.arange(len(rows)), per_doc)
+    doc_of = np.repeat(np.arange(len(rows), dtype=np.int32), per_doc)
     del rows
-    grams, sizes, lens, starts, ends = (array("i") for _ in range(5))
+    grams, sizes, lens = (array("i") for _ in range(3))
+    starts, ends = array("B"), array("B")  # a word has PIECE characters at most
     for w in known or {"": 0}:
         b = buckets_of(w)
         grams.extend(b)
@@ -182,9 +183,9 @@ def _fit_once(sample: list[tuple[bytes, int]], share: float, seed: int, epochs:
     bias = np.zeros(2)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, soft, bias)]
     for epoch in range(epochs):
-        keep = rng.random(len(flat)) > DROP
+        keep = rng.random(len(flat), np.float32) > DROP
         live = np.maximum(np.bincount(owner, keep, len(n_grams)), 1)
-        typo = np.where(rng.random(len(lens)) < TYPOS, 1 + (rng.random(len(lens)) * lens).astype(np.int32), -1)[owner]
+        typo = np.where(rng.random(len(lens)) < TYPOS, 1 + (rng.random(len(lens)) * lens).astype(np.uint8), 255).astype(np.uint8)[owner]
         keep &= (starts > typo) | (ends <= typo)  # a misspelt word has as many grams as before, but these say nothing
         number = emb @ (soft[1] - soft[0])
         word = np.append(np.bincount(owner, number[flat] * keep, len(n_grams)) / live, 0.0)
