@@ -105,9 +105,10 @@ def applied(d: Spark, when: str = "x.action = 'auto_commit'") -> str:
         return f"case when {when} and x.rec_{f} <> '' and (x.stub or {d.plain(f'p.{f}')} = '') then x.rec_{f} else p.{f} end as {f}"
 
     return f"""select p.id, {field('title')}, case when {when} and x.rec_year is not null and (x.stub or p.year is null) then x.rec_year else p.year end as year,
-        {field('journal')}, {field('doi')}, case when {when} and x.n_rec > 0 and x.n_authors = 0 then x.rec_authors else coalesce(x.names, '') end as authors,
+        {field('journal')}, {field('doi')}, case when {when} and x.n_rec > 0 and x.n_authors = 0 then x.rec_authors else coalesce(a.names, '') end as authors,
         coalesce({when}, false) as taken, coalesce(x.stub and x.n_rec > 0, false) as new_authors
-      from {{paper}} p left join ({decisions(d)}) x on x.paper_id = p.id"""
+      from {{paper}} p left join ({decisions(d)}) x on x.paper_id = p.id
+        left join (select paper_id, {d.gather('name', "'; '", 'ord, id')} as names from {{author}} group by paper_id) a on a.paper_id = p.id"""
 
 
 def diffs(d: Spark) -> str:
