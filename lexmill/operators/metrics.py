@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
 from ..functions.dialect import Spark
 from .names import author_scores
 from .resolve import CJK
@@ -13,21 +20,33 @@ STRATA = {"cjk": 0.10, "old": 0.10, "no_journal": 0.15}
 
 
 def normal(d: Spark, x: str) -> str:
-    return f"trim({d.replace(f'lower({x})', '[^a-z0-9_]+', ' ')})"
+    """Lower case, all dashes alike, other marks as spaces, single spaces. Compatibility forms are unified before, by :func:`unified`."""
+    kept = d.replace(d.replace(f"lower(coalesce({x}, ''))", "[\u2010-\u2015]", "-"), "[^\\pL\\pN_\\s\\pZ-]", " ")
+    return d.strip(d.replace(kept, "[\\s\\pZ]+", " "))
+
+
+def unified(c: Column) -> Column:
+    """NFKC, which Spark has no function for: an Arrow function, for texts that have anything beyond ASCII."""
+    return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(_nfkc(c))
+
+
+@F.pandas_udf(StringType())
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
-def similarity(a: str, b: str) -> str:
-    return f"case when {a} = '' and {b} = '' then 1e0 when {a} = '' or {b} = '' then 0e0 else 1e0 - cast(levenshtein({a}, {b}) as double) / greatest(length({a}), length({b})) end"
+def similarity(d: Spark, a: str, b: str) -> str:
+    return f"case when {a} = '' and {b} = '' then 1e0 when {a} = '' or {b} = '' then 0e0 else 1e0 - cast({d.distance(a, b)} as double) / greatest(length({a}), length({b})) end"
 
 
 def field_scores(d: Spark) -> str:
-    """Records against their papers; ASCII forms on both sides."""
+    """Records against their papers, field by field."""
     ta, tb = d.split("ja", " "), d.split("jb", " ")
     contained = f"cast({d.size(d.common(d.distinct(ta), d.distinct(tb)))} as double) / least({d.size(d.distinct(ta))}, {d.size(d.distinct(tb))})"
     return f"""with x as (select b.id, {normal(d, 'b.title')} as a, {normal(d, 'p.title')} as b, {normal(d, 'b.journal')} as ja, {normal(d, 'p.journal')} as jb,
-          b.year as ya, p.year as yb, lower(b.doi) as da, lower(p.doi) as db from {{paperbiblio}} b join {{paper}} p on p.id = b.paper_id)
-      select id, {similarity('a', 'b')} as title, case when ya is not null and ya = yb then 1e0 else 0e0 end as year,
-        case when ja = '' and jb = '' then 1e0 when ja = '' or jb = '' then 0e0 else greatest({similarity('ja', 'jb')}, 0.5 + 0.5 * {contained}) end as journal,
+          b.year as ya, p.year as yb, lower({d.plain('b.doi')}) as da, lower({d.plain('p.doi')}) as db from {{paperbiblio}} b join {{paper}} p on p.id = b.paper_id)
+      select id, {similarity(d, 'a', 'b')} as title, case when ya is not null and ya = yb then 1e0 else 0e0 end as year,
+        case when ja = '' and jb = '' then 1e0 when ja = '' or jb = '' then 0e0 else greatest({similarity(d, 'ja', 'jb')}, 0.5 + 0.5 * {contained}) end as journal,
         case when da = db then 1e0 else 0e0 end as doi from x"""
 
 
@@ -53,7 +72,7 @@ def stratified(d: Spark, n: int = 60, seed: int = 42) -> str:
 
 
 TEMPLATES = {
-    "levenshtein_pairs": lambda d: f"""select id, paper_id, levenshtein(a, b) as distance, round({similarity('a', 'b')}, 9) as similarity from (
+    "levenshtein_pairs": lambda d: f"""select id, paper_id, {d.distance('a', 'b')} as distance, round({similarity(d, 'a', 'b')}, 9) as similarity from (
         select r.id, r.paper_id, {normal(d, 'r.title')} as a, {normal(d, 'p.title')} as b from {{paperbiblio}} r join {{paper}} p on p.id = r.paper_id) x""",
     "field_scores": lambda d: f"select id, round(title, 9) as title, year, round(journal, 9) as journal, doi from ({field_scores(d)}) x",
     "overall_score": overall_score,

@@ -11,7 +11,11 @@ from lexmill.plans import registry
 from lexmill.sources.corpus import BASE, Corpus
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["search_bm25_and", "search_phrase", "search_near", "search_fallback_phrase", "search_blank", "split_passages", "first_pages", "best_record", "decisions", "field_diffs", "field_scores", "author_scores", "property_year", "stratified_sample", "library_counts", "folder_tree", "paper_detail", "upsert_items", "merge_stale", "queue_depth", "stream_latest_per_key"]
+SAMPLE = [
+    "search_bm25_and", "search_phrase", "search_near", "search_fallback_phrase", "search_blank", "search_or_not", "search_prefix", "index_postings", "split_passages", "first_pages", "best_record", "decisions", "field_diffs", "field_scores",
+    "author_scores", "property_year", "stratified_sample", "library_counts", "db_stats", "folder_tree", "page_slice", "paper_detail", "upsert_items", "items_built", "attachment_insert", "merge_stale", "additive_patch", "override_patch", "merged_apply",
+    "update_payloads", "split_names", "citation_by_script", "creators_of_names", "model_records", "authors_json", "notes_folded", "ocr_valid", "ocr_resume_plan", "ocr_job_pages", "baseline_extract", "queue_depth", "poll_outcomes", "stream_latest_per_key",
+]
 
 
 def plain(v):
