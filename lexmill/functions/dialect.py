@@ -46,6 +46,7 @@ class Spark:
     def after(self, x, c): return f"substr({x}, instr({x}, '{c}') + 1)"
     def struct(self, **parts): return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in parts.items()) + ")"
     def distance(self, a, b): return f"levenshtein({a}, {b})"
+    def escape_list_numbers(self, x): return f"regexp_replace({x}, r'(?m)^([0-9]+)[.]', r'$1\\\\.')"
 
     def once(self, x):
         """A whole number that the optimiser can't see through: what is projected beside it is computed once, not
@@ -87,6 +88,8 @@ class Duck(Spark):
     def struct(self, **parts): return "{{" + ", ".join(f"'{k}': {v}" for k, v in parts.items()) + "}}"
     def once(self, x): return x
 
+    def escape_list_numbers(self, x): return f"regexp_replace({x}, '(?m)^([0-9]+)[.]', '\\1\\\\.', 'g')"
+
     def distance(self, a, b):
         """DuckDB counts bytes: in lower-case texts the sample's letters beyond ASCII are first written as capitals, one for one."""
         return f"levenshtein(translate({a}, '{_BEYOND}', '{_CAPITALS}'), translate({b}, '{_BEYOND}', '{_CAPITALS}'))"

@@ -6,6 +6,10 @@ from ..functions.dialect import Spark
 
 MIN_CHARS, TAIL_CHARS = 50, 10
 FIRST_CHARS, FIRST_CUT = 1500, 6000
+#: A blank line, as an SQL text.
+BLANK = "'\n\n'"
+#: The sample's index, in which every third paper is missing.
+INDEXED = "select paper_id from {passage} where paper_id % 6 <> 0"
 
 
 def trimmed(d: Spark, x: str) -> str:
@@ -36,26 +40,32 @@ def first_pages(d: Spark) -> str:
     return f"""with a as (select paper_id, page, {trimmed(d, 'text')} as text from {{page}}),
         b as (select *, row_number() over (partition by paper_id order by page) as rn, sum(length(text)) over (partition by paper_id order by page) as cum from a where text <> ''),
         c as (select *, lag(cum) over (partition by paper_id order by page) as before from b),
-        k as (select paper_id, {d.gather("concat('--- Page ', page + 1, ' ---', chr(10), text)", 'concat(chr(10), chr(10))', 'page').replace('concat(chr(10), chr(10))', repr(chr(10) * 2).replace(chr(92) + 'n', chr(10)))} as t from c where rn <= 2 or before < {FIRST_CHARS} group by paper_id)
+        k as (select paper_id, {d.gather("concat('--- Page ', page + 1, ' ---', chr(10), text)", BLANK, 'page')} as t from c where rn <= 2 or before < {FIRST_CHARS} group by paper_id)
       select paper_id, case when length(t) > {FIRST_CUT} then concat(substr(t, 1, {FIRST_CUT}), chr(10), '[...truncated]') else t end as head from k"""
 
 
 def sanitize(d: Spark, x: str = "text") -> str:
     """Lines without leading space, list numbers escaped, at most one blank line in a row, ends trimmed."""
-    flags = "(?m)"
-    out = d.replace(x, flags + "^[ \\t]+", "")
-    out = d.replace(out, flags + "^([0-9]+)[.]", "$1\\\\\\\\." if d.name == "spark" else "\\1\\\\.") if d.name == "duck" else f"regexp_replace({out}, r'(?m)^([0-9]+)[.]', r'$1\\\\.')"
+    out = d.replace(x, "(?m)^[ \\t]+", "")
+    out = d.escape_list_numbers(out)
     out = d.replace(out, "\\n\\n\\n+", chr(10) * 2)
     return trimmed(d, out)
 
 
+def join_pages(d: Spark) -> str:
+    """A paper's pages as one document: sanitised, blank ones left out, each under the number of its place among all pages."""
+    rule = "'\n\n---\n\n'"
+    return f"""select paper_id, {d.gather("concat('*— page ', place, ' —*', chr(10), chr(10), text)", rule, 'place')} as markdown
+      from (select paper_id, {sanitize(d)} as text, row_number() over (partition by paper_id order by page) as place from {{page}}) p where text <> '' group by paper_id"""
+
+
 TEMPLATES = {
     "split_passages": split_passages,
     "first_pages": first_pages,
     "ocr_pages": lambda d: f"select paper_id, cast(page + 1 as int) as page, {trimmed(d, 'text')} as text from {{page}} where {trimmed(d, 'text')} <> ''",
     "sanitize_markdown": lambda d: f"select paper_id, page, {sanitize(d)} as text from {{page}}",
-    "join_pages": lambda d: f"select paper_id, {d.gather(chr(99) + 'oncat(' + chr(39) + '*— page ' + chr(39) + ', place, ' + chr(39) + ' —*' + chr(39) + ', chr(10), text)', chr(39) + chr(10) + '---' + chr(10) + chr(39), 'place')} as markdown from (select paper_id, text, row_number() over (partition by paper_id order by page) as place from {{page}} where text <> '') p group by paper_id",
+    "join_pages": join_pages,
     "page_break_headers": lambda d: "select id, paper_id, page, case when lag(page) over (partition by paper_id order by page, id) = page then 0 else 1 end as header from {passage}",
-    "reindex_targets": lambda d: "select f.id from {paperfile} f left semi join {paperfile} j on j.hash = f.hash and j.path ilike '%.json' left anti join {passage} s on s.paper_id = f.paper_id where not f.path ilike '%.json'" if d.name == "spark" else "select f.id from {paperfile} f where not f.path ilike '%.json' and exists (select 1 from {paperfile} j where j.hash = f.hash and j.path ilike '%.json') and not exists (select 1 from {passage} s where s.paper_id = f.paper_id)",
+    "reindex_targets": lambda d: f"select f.id from {{paperfile}} f where not f.path ilike '%.json' and exists (select 1 from {{paperfile}} j where j.hash = f.hash and j.path ilike '%.json') and not exists (select 1 from ({INDEXED}) s where s.paper_id = f.paper_id)",
     "content_hash": lambda d: f"select doc_id, {d.sha256('text')} as hash from {{documents}}",
 }
