@@ -33,6 +33,7 @@ class Spark:
     def has(self, a, x): return f"array_contains({a}, {x})"
     def common(self, a, b): return f"array_intersect({a}, {b})"
     def distinct(self, a): return f"array_distinct({a})"
+    def most(self, a): return f"array_max({a})"
     def rows(self, a): return f"explode({a})"
     def upto(self, a, b): return f"if({a} > {b}, array(), sequence({a}, {b}))"
     def gather(self, x, sep, order): return f"listagg({x}, {sep}) within group (order by {order})"
@@ -75,6 +76,7 @@ class Duck(Spark):
     def has(self, a, x): return f"list_contains({a}, {x})"
     def common(self, a, b): return f"list_intersect({a}, {b})"
     def distinct(self, a): return f"list_distinct({a})"
+    def most(self, a): return f"list_max({a})"
     def rows(self, a): return f"unnest({a})"
     def upto(self, a, b): return f"generate_series({a}, {b})"
     def gather(self, x, sep, order): return f"string_agg({x}, {sep} order by {order})"

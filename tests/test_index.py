@@ -129,3 +129,14 @@ def test_random_queries_same_as_scanning(spark, tmp_path):
     for _ in range(12):
         query, holds = tree(3)
         assert [i for i, _ in rows(idx, query)] == [i for i, _, _, t in passages if holds(t.split())], query
+
+
+def test_snippets(spark):
+    from lexmill.functions.dialect import SPARK
+    from lexmill.operators.search import snippet
+
+    text = " ".join(f"w{i}" for i in range(40)) + " alpha x beta " + " ".join(f"v{i}" for i in range(40)) + " alpha"
+    c = corpus(spark, [(1, 1, 1, "Alpha, then beta"), (2, 1, 2, text), (3, 2, 1, "nothing here"), (4, 3, 1, "beta")])
+    got = {r.passage_id: r.snippet for r in c.sql(snippet(SPARK, "alpha OR beta")).collect()}
+    assert got[1] == "**alpha** then **beta**" and got[3] == "nothing here" and got[4] == "**beta**"
+    assert got[2].startswith("...w11 w12") and got[2].endswith("**alpha** x **beta**...") and len(got[2].replace("...", "").split()) == 32
