@@ -76,7 +76,7 @@ TEMPLATES = {
         select r.id, r.paper_id, {normal(d, 'r.title')} as a, {normal(d, 'p.title')} as b from {{paperbiblio}} r join {{paper}} p on p.id = r.paper_id) x""",
     "field_scores": lambda d: f"select id, round(title, 9) as title, year, round(journal, 9) as journal, doi from ({field_scores(d)}) x",
     "overall_score": overall_score,
-    "score_means": lambda d: f"select count(*) as n, round(avg(title), 6) as title, round(avg(year), 6) as year, round(avg(journal), 6) as journal, round(avg(doi), 6) as doi, round(avg(case when title >= 0.8 then 1e0 else 0e0 end), 6) as title_hits from ({field_scores(d)}) x",
+    "score_means": lambda d: f"select count(*) as n, " + ", ".join(f"round(avg({k}), 6) as {k}" for k in (*WEIGHTS, "overall")) + f", round(avg(case when title >= 0.8 then 1e0 else 0e0 end), 6) as title_hits from ({overall_score(d)}) x",
     "stratified_sample": stratified,
     "eval_candidates": lambda d: "select distinct p.id from {paper} p join {paperfile} f on f.paper_id = p.id join {folder} o on o.id = p.folder_id join {source} s on s.id = o.source_id join {author} a on a.paper_id = p.id where s.source_type = 'zotero' and f.status = 'processed' and f.hash <> '' and p.title <> '' and p.year is not null",
     "normalize_text": lambda d: f"select id, {normal(d, 'title')} as title from {{paper}}",
