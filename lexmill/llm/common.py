@@ -8,7 +8,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 #: Bytes of an Arrow batch. Spark's 64 MB are held several times over, by the JVM and by each Python worker.
 BATCH = "8m"
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -46,6 +45,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like the given ones that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}
