@@ -108,7 +108,7 @@ def test_toxicity_held_out(spark, edge, empty):
     docs, labels, held = held_out(spark, "toxic", 5, 0)
     model = toxicity.fit(docs, labels, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     got = toxicity.score(docs.join(held, "doc_id", "left_semi"), model).join(held, "doc_id").withColumn("hit", ((F.col("score") >= 0.5).cast("int") == F.col("toxic")).cast("int")).agg(F.avg("hit"), F.count("*")).first()
-    assert got[1] > 300 and got[0] >= 0.95  # measured 0.964: this table has some 330 toxic labels to learn from
+    assert got[1] > 300 and got[0] >= 0.97  # measured 0.985: this table has some 350 toxic labels to learn from
     assert toxicity.score(edge, model).count() == len(EDGE) and toxicity.drop_toxic(empty, model).count() == 0
 
 
