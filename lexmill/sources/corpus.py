@@ -44,7 +44,7 @@ def views(d: Spark) -> dict[str, str]:
               select doc_id, {clean} as w, cast(case when doc_id % 7 = 0 then 0 else doc_id % 5 end as int) as n from {{documents}}) a where n > 0) b
             where 2 * k + 1 < {d.size('w')} and {d.get('w', '2 * k')} <> '' and {d.get('w', '2 * k + 1')} <> ''""",
         "paperfile": f"""with h as (select doc_id, {d.sha256('text')} as hash, case when doc_id % 6 = 0 then '' else concat('K', doc_id) end as pk,
-              case when doc_id % 10 < 2 then 'pending' when doc_id % 10 = 2 then 'failed' else 'processed' end as status from {{documents}})
+              case when doc_id % 10 < 2 then 'pending' when doc_id % 10 = 2 then 'failed' else 'processed' end as status from {{documents}} where doc_id % 53 <> 7)
             select doc_id * 4 as id, doc_id as paper_id, concat('f', doc_id, '.pdf') as path, hash, status, case when doc_id % 13 = 0 then pk else concat('A', doc_id) end as zotero_key from h
             union all select doc_id * 4 + 1, doc_id, concat(hash, '.json'), hash, 'processed', concat('J', doc_id) from h where doc_id % 3 = 0
             union all select doc_id * 4 + 2, doc_id, concat('f', doc_id, 'b.pdf'), concat(hash, 'b'), 'pending', concat('B', doc_id) from h where doc_id % 19 = 0""",
