@@ -71,7 +71,7 @@ TEMPLATES = {
     "stub_listing": lambda d: "select p.id from {paper} p where (trim(p.title) = '' or p.year is null) and not exists (select 1 from {author} a where a.paper_id = p.id)",
     "standalone": lambda d: "select p.id, f.id as file_id from {paper} p join {paperfile} f on f.paper_id = p.id where p.zotero_key <> '' and p.zotero_key = f.zotero_key",
     "status_summary": lambda d: "select count(*) as files, count(case when status = 'pending' then 1 end) as pending, count(case when status = 'processed' then 1 end) as processed, count(case when status = 'failed' then 1 end) as failed from {paperfile}",
-    "key_or_name_lookup": lambda d: "select wanted, id from (select w.wanted, f.id, row_number() over (partition by w.wanted order by case when f.zotero_key = w.wanted then 0 else 1 end, f.id) as rn from (select 'C105' as wanted union all select 'FRANCE' union all select 'nothing') w join {folder} f on f.zotero_key = w.wanted or f.name = w.wanted) x where rn = 1",
+    "key_or_name_lookup": lambda d: "with w as (select 'C105' as wanted union all select 'FRANCE' union all select 'nothing'), m as (select w.wanted, f.id, 0 as tier from w join {folder} f on f.zotero_key = w.wanted union all select w.wanted, f.id, 1 from w join {folder} f on f.name = w.wanted) select wanted, id from (select wanted, id, row_number() over (partition by wanted order by tier, id) as rn from m) x where rn = 1",
     "papers_per_source": lambda d: "select s.id, count(p.id) as papers from {source} s left join {folder} o on o.source_id = s.id left join {paper} p on p.folder_id = o.id group by s.id",
     "papers_with_files": lambda d: "select p.id, f.id as file_id from {paper} p left join {paperfile} f on f.paper_id = p.id",
     "status_share": lambda d: "select status, n, share, concat(lpad(cast(cast(round(share, 1) as decimal(5, 1)) as varchar(9)), 5, ' '), '%') as shown from (select status, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (partition by 1), 6) as share from {paperfile} group by status) x",
