@@ -122,4 +122,7 @@ def labelled_sample(
         .collect()
     )
     rows.sort(key=lambda r: (r["_id"]))
-    return [(bytes(r["_t"]), r["_y"]) for r in rows]
+    got = [(bytes(r["_t"]), r["_y"]) for r in rows]
+    del rows
+    release(docs.sparkSession)  # training needs the driver's memory more than what the collection left behind
+    return got

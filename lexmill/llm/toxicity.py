@@ -48,6 +48,8 @@ RATE, DECAY, DROP, TYPOS, HEAT, EPS = 0.1, 1e-5, 0.3, 0.65, 8.0, 1e-5
 CUT = 0.1
 #: Fits from different starts whose average scores.
 MODELS = 3
+#: N-grams that one step of the training works on.
+GRAM_BLOCK = 1 << 19
 CACHE_WORDS = 200_000
 
 _WORD = re.compile(r"\w+")
@@ -125,11 +127,14 @@ def train(sample: list[tuple[bytes, int]], seed: int = 11, epochs: int = EPOCHS,
         p = min(max(share, 1e-9), 1 - 1e-9)
         return SubwordModel(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
     model = SubwordModel(np.zeros(BUCKETS), 0.0)
+    y = np.array([label for _, label in sample], np.float64)
+    data = _Prepared(sample)
     for k in range(models):
-        model.gram += _fit_once(sample, share, seed + k, epochs) / models
+        model.gram += _fit_once(data, y, seed + k, epochs) / models
+    del data
     # Move the threshold to where it errs least on the sample.
     scores = _Scores(model)
-    top, y = np.array([logit(model, text, scores) for text, _ in sample]), np.array([label for _, label in sample])
+    top = np.array([logit(model, text, scores) for text, _ in sample])
     order = np.unique(top)
     cuts = np.concatenate([[order[0] - 1], (order[1:] + order[:-1]) / 2, [order[-1] + 1]])
     up, down = np.sort(top[y == 1]), np.sort(top[y == 0])
@@ -139,65 +144,94 @@ def train(sample: list[tuple[bytes, int]], seed: int = 11, epochs: int = EPOCHS,
     return model
 
 
-def _fit_once(sample: list[tuple[bytes, int]], share: float, seed: int, epochs: int) -> np.ndarray:
+class _Prepared:
+    """The sample as numbers, for all fits: passages as numbers of their words, words as numbers of their buckets."""
+
+    def __init__(self, sample: list[tuple[bytes, int]]):
+        known: dict[str, int] = {}
+        rows, doc_first = [], [0]
+        for text, _ in sample:
+            ids = np.array([known.setdefault(w, len(known)) for w in words_of(text)], np.float64)
+            rows.append(np.nan_to_num(_once(_passages(ids)), nan=-1).astype(np.int32))
+            doc_first.append(doc_first[-1] + len(rows[-1]))
+        self.windows = np.concatenate(rows)  # word numbers; -1 for none
+        del rows
+        self.doc_of = np.repeat(np.arange(len(sample), dtype=np.int32), np.diff(doc_first))
+        self.doc_first = np.array(doc_first[:-1])
+        grams, sizes, lens = (array("i") for _ in range(3))
+        starts, ends = array("B"), array("B")  # a word has PIECE characters at most
+        for w in known or {"": 0}:
+            b = buckets_of(w)
+            grams.extend(b)
+            sizes.append(len(b))
+            lens.append(max(1, len(w)))
+            for n in GRAMS:  # which characters a gram covers, in the order of buckets_of
+                starts.extend(range(0, len(w) + 3 - n))
+                ends.extend(range(n, len(w) + 3))
+            starts.append(0)
+            ends.append(len(w) + 2)
+        del known
+        self.sizes, self.lens = np.array(sizes), np.array(lens)
+        self.starts, self.ends = np.frombuffer(starts, np.uint8), np.frombuffer(ends, np.uint8)
+        grams = np.frombuffer(grams, np.int32)
+        self.used = np.flatnonzero(np.bincount(grams, minlength=BUCKETS))
+        place = np.zeros(BUCKETS, np.int32)
+        place[self.used] = np.arange(len(self.used), dtype=np.int32)
+        self.flat = place[grams]
+        self.owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+
+    def blocks(self):
+        """The n-grams in parts, so that what is worked out for each of them is never all in memory."""
+        for at in range(0, len(self.flat), GRAM_BLOCK):
+            yield slice(at, at + GRAM_BLOCK)
+
+    def by_word(self, of_gram) -> np.ndarray:
+        """Sums over each word's n-grams of what ``of_gram`` gives for a part of them."""
+        out = np.zeros(len(self.sizes))
+        for part in self.blocks():
+            owner = self.owner[part]
+            out[owner[0] : owner[-1] + 1] += np.bincount(owner - owner[0], of_gram(part))
+        return out
+
+
+def _fit_once(data: _Prepared, y: np.ndarray, seed: int, epochs: int) -> np.ndarray:
     """The log-odds of the buckets: embedding table and softmax fitted jointly, by Adam on whole passes over the sample.
 
     Passages share their text's label by weight, all alike at first, then more and more the highest. As the
     softmax is linear, a pass needs one number for each bucket, its vector times the difference of the two
     class vectors; the exact gradients of the vectors follow from the gradient of that number.
     """
-    rng = np.random.default_rng(seed)
-    known: dict[str, int] = {}
-    rows, doc_first = [], [0]
-    for text, _ in sample:
-        ids = np.array([known.setdefault(w, len(known)) for w in words_of(text)], np.float64)
-        rows.append(np.nan_to_num(_once(_passages(ids)), nan=-1).astype(np.int32))
-        doc_first.append(doc_first[-1] + len(rows[-1]))
-    windows = np.concatenate(rows)  # word numbers; -1 for none
-    per_doc, doc_first = np.diff(doc_first), np.array(doc_first[:-1])
-    doc_of = np.repeat(np.arange(len(rows), dtype=np.int32), per_doc)
-    del rows
-    grams, sizes, lens = (array("i") for _ in range(3))
-    starts, ends = array("B"), array("B")  # a word has PIECE characters at most
-    for w in known or {"": 0}:
-        b = buckets_of(w)
-        grams.extend(b)
-        sizes.append(len(b))
-        lens.append(max(1, len(w)))
-        for n in GRAMS:  # which characters a gram covers, in the order of buckets_of
-            starts.extend(range(0, len(w) + 3 - n))
-            ends.extend(range(n, len(w) + 3))
-        starts.append(0)
-        ends.append(len(w) + 2)
-    n_grams = np.array(sizes)
-    used, flat = np.unique(np.frombuffer(grams, np.int32), return_inverse=True)
-    flat = flat.astype(np.int32)
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), n_grams)
-    lens, starts, ends = (np.array(a) for a in (lens, starts, ends))
-    del known, grams, sizes
-    y = np.array([label for _, label in sample], np.float64)
+    share = y.mean()
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)  # both classes alike
-
-    emb = rng.normal(0, 0.05, (len(used), DIM))
+    rng = np.random.default_rng(seed)
+    emb = rng.normal(0, 0.05, (len(data.used), DIM))
     soft = rng.normal(0, 0.5, (2, DIM))
     bias = np.zeros(2)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, soft, bias)]
+    n_words = len(data.sizes)
     for epoch in range(epochs):
-        keep = rng.random(len(flat), np.float32) > DROP
-        live = np.maximum(np.bincount(owner, keep, len(n_grams)), 1)
-        typo = np.where(rng.random(len(lens)) < TYPOS, 1 + (rng.random(len(lens)) * lens).astype(np.uint8), 255).astype(np.uint8)[owner]
-        keep &= (starts > typo) | (ends <= typo)  # a misspelt word has as many grams as before, but these say nothing
+        keep = rng.random(len(data.flat), np.float32) > DROP
+        live = np.maximum(data.by_word(lambda part, keep=keep: keep[part]), 1)
+        typo = np.where(rng.random(n_words) < TYPOS, 1 + (rng.random(n_words) * data.lens).astype(np.uint8), 255).astype(np.uint8)
+        for part in data.blocks():  # a misspelt word has as many grams as before, but these say nothing
+            at = typo[data.owner[part]]
+            keep[part] &= (data.starts[part] > at) | (data.ends[part] <= at)
         number = emb @ (soft[1] - soft[0])
-        word = np.append(np.bincount(owner, number[flat] * keep, len(n_grams)) / live, 0.0)
-        odds = word[windows].sum(axis=1) * GAIN / WINDOW + bias[1] - bias[0]
-        heat = HEAT * epoch / epochs
-        w = np.exp(heat * (odds - np.maximum.reduceat(odds, doc_first)[doc_of]))
-        w /= np.add.reduceat(w, doc_first)[doc_of]
-        pooled = np.add.reduceat(w * odds, doc_first)
+        word = np.append(data.by_word(lambda part, number=number, keep=keep: number[data.flat[part]] * keep[part]) / live, 0.0)
+        word = (word * GAIN / WINDOW).astype(np.float32)
+        odds = sum(word[data.windows[:, k]] for k in range(WINDOW)) + np.float32(bias[1] - bias[0])
+        w = odds - np.maximum.reduceat(odds, data.doc_first)[data.doc_of]
+        w *= np.float32(HEAT * epoch / epochs)
+        np.exp(w, out=w)
+        w /= np.add.reduceat(w, data.doc_first)[data.doc_of]
+        pooled = np.add.reduceat(w * odds, data.doc_first)
         err = (1 / (1 + np.exp(-np.clip(pooled, -30, 30))) - y) * weight
-        g = err[doc_of] * w
-        per_word = np.bincount(windows.ravel() + 1, np.repeat(g * GAIN / WINDOW, WINDOW), len(n_grams) + 1)[1:] / live
-        slope = np.bincount(flat, per_word[owner] * keep, len(used))
+        g = w * err.astype(np.float32)[data.doc_of]
+        del odds, w
+        per_word = sum(np.bincount(data.windows[:, k] + 1, g, n_words + 1) for k in range(WINDOW))[1:] * GAIN / WINDOW / live
+        slope = np.zeros(len(data.used))
+        for part in data.blocks():
+            slope += np.bincount(data.flat[part], per_word[data.owner[part]] * keep[part], len(data.used))
         d_emb = slope[:, None] * (soft[1] - soft[0]) + DECAY * emb
         d_soft = np.stack([-(slope @ emb), slope @ emb])
         d_bias = np.array([-g.sum(), g.sum()])
@@ -206,7 +240,7 @@ def _fit_once(sample: list[tuple[bytes, int]], share: float, seed: int, epochs:
             m[1] += 0.01 * (grad * grad - m[1])
             p -= RATE * (m[0] / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(m[1] / (1 - 0.99 ** (epoch + 1))) + EPS)
     gram = np.zeros(BUCKETS)
-    gram[used] = emb @ (soft[1] - soft[0])
+    gram[data.used] = emb @ (soft[1] - soft[0])
     return gram
 
 
