@@ -22,6 +22,12 @@ the alignment has found verbatim. The first document that has a run so either is
 every other document then finds, or takes part in the second join: two documents that share a run of
 ``MIN_WORDS`` words always have a source that shares it, whatever its parts are. Passages of the second join are exact.
 
+A fuzzy passage has no such run, and if its seeds first occurred in several documents, none of their chains is the passage. So there is a
+third join, on pairs of shared seeds that follow each other (or with one between) while their first places don't: those where one
+source ends and another begins. Where a pair has at most ``FEW_PLACES`` places each is matched with those of all earlier
+documents, otherwise with its first one. These matches are chained and aligned as those of single seeds, however little they span;
+what they find is left out where a passage on an earlier source has all of its words.
+
 A passage is reported on the document that has it later (the larger doc_id), with the place it repeats.
 
 Defined results: null and empty texts have no passages; rows with a null id can't be named and are left
@@ -52,6 +58,8 @@ GAP = 0.05
 SPREAD = 128
 #: Words from a chain's first match to its last one, at least: shorter chains are common phrases, next to never passages.
 LEAST_SPAN = 16
+#: Places up to which all of a seed pair's are matched with each other.
+FEW_PLACES = 8
 MIN_WORDS = 40
 SIMILARITY = 0.8
 #: Seeds of a chunk, and bytes of packed seeds in a bucket, about.
@@ -200,11 +208,12 @@ def _first_places(t: pa.Table) -> pa.Table:
 
 
 _PASSAGES = "doc_id long, start long, end long, source long, source_start long, source_end long, matches long"
-_MATCHED = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("marks", pa.list_(pa.int64()))])
+_COLUMNS = ["doc_id", "start", "end", "source", "source_start", "source_end", "matches"]
+_MATCHED = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("marks", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int64()))])
 
 
 def _matcher(min_words: int):
-    """A chunk's texts and what its buckets say, as chains (doc_id, source, marks) and open places (source null)."""
+    """A chunk's texts and what its buckets say, as chains (doc_id, source, marks), and open places and pairs (source null)."""
 
     def match(texts: pa.Table, found: pa.Table) -> pa.Table:
         ids = unpack_ids(texts.column("ids")[0].as_py())
@@ -231,15 +240,33 @@ def _matcher(min_words: int):
             other = t & (s != ids[i])
             for one, chain in _chains(p[other], s[other], x[other]):
                 if chain[-1][1] - chain[0][0] >= LEAST_SPAN:
-                    rows.append((int(ids[i]), one, [m for f in chain for m in f[:3]]))
+                    rows.append((int(ids[i]), one, [m for f in chain for m in f[:3]], None))
             places = open_places(int(lens[i]), p[~t & sparse[part]], p[t & ~here[part]], min_words)
-            if places:
-                rows.append((int(ids[i]), None, places))
+            pairs = scattered_pairs(p[t], s[t], x[t])
+            if places or len(pairs):
+                rows.append((int(ids[i]), None, places, pairs.ravel().tolist()))
         return pa.Table.from_pylist([dict(zip(_MATCHED.names, r, strict=True)) for r in rows], _MATCHED)
 
     return match
 
 
+def scattered_pairs(y: np.ndarray, source: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Pairs of seeds at places ``y`` whose first places (source, x) don't follow each other, as rows of a key and both places.
+
+    A seed has one first place, so the key, made of both, is the same wherever the two seeds stand.
+    """
+    out = [np.zeros((0, 3), np.int64)]
+    for step in (1, 2):
+        (ya, sa, xa), (yb, sb, xb) = ((c[:-step] for c in (y, source, x)), (c[step:] for c in (y, source, x)))
+        apart = (yb - ya <= SPREAD) & ((sa != sb) | (xb <= xa) | (xb - xa > SPREAD))
+        key = np.zeros(int(apart.sum()), np.uint64)
+        for c in (sa, xa, sb, xb):
+            key = (key ^ c[apart].astype(np.int64).view(np.uint64)) * _MIX
+            key ^= key >> np.uint64(31)
+        out.append(np.stack([key.view(np.int64), ya[apart], yb[apart]], axis=1))
+    return np.concatenate(out)
+
+
 def open_places(n_words: int, single: np.ndarray, elsewhere: np.ndarray, words: int, k: int = K) -> list[int]:
     """Places whose runs of ``words`` words may repeat without the seeds' star join showing it, as from, to, from, to...
 
@@ -499,14 +526,48 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def seed_matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Chains of seed matches of ``rows`` (doc_id, text) with their source, and open places (source null), in ``marks``."""
+    """Chains of seed matches of ``rows`` (doc_id, text) with their source, and open places (source null), in ``marks``; with these the scattered ``pairs``."""
     least = int(min_words * SIMILARITY)
     # A packed seed takes some seven bytes, and there is about one seed for each 18 bytes of text.
     n_buckets = max(partitions(rows.sparkSession), -(-text_bytes(rows) * 7 // (18 * BUCKET)))
     split = materialize(rows.mapInArrow(_split(n_buckets, least), _CHUNKS))
     found = split.where("bucket >= 0").groupBy("bucket").applyInArrow(_first_places, "chunk long, bucket int, n int, told binary, source binary, at binary")
     texts = split.where("bucket < 0").groupBy("chunk")
-    return texts.cogroup(found.groupBy("chunk")).applyInArrow(_matcher(min_words), "doc_id long, source long, marks array<long>")
+    return texts.cogroup(found.groupBy("chunk")).applyInArrow(_matcher(min_words), "doc_id long, source long, marks array<long>, pairs array<long>")
+
+
+def _unfold_pairs(batches):
+    for batch in batches:
+        for doc, pairs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            t = pairs.values.to_numpy().reshape(-1, 3)
+            yield pa.record_batch([pa.array(c) for c in (t[:, 0].copy(), np.full(len(t), doc, np.int64), t[:, 1].copy(), t[:, 2].copy())], ["key", "doc_id", "a", "b"])
+
+
+def _pair_chains(batches):
+    """Chains along a partition's matching pairs, which come sorted by doc_id."""
+    for t in _whole_documents(batches):
+        rows = []
+        for (doc, source), part in t.groupby(["doc_id", "source"]):
+            at = np.unique(np.concatenate([part[["a", "at_a"]].to_numpy(np.int64), part[["b", "at_b"]].to_numpy(np.int64)]), axis=0)
+            for one, chain in _chains(at[:, 0], np.full(len(at), source, np.int64), at[:, 1]):
+                rows.append({"doc_id": int(doc), "source": one, "marks": [m for f in chain for m in f[:3]]})
+        schema = pa.schema(list(_MATCHED)[:3])
+        yield from pa.Table.from_pylist(rows, schema).to_batches() or [pa.record_batch([[], [], []], schema=schema)]
+
+
+def pair_matches(matched: DataFrame) -> DataFrame:
+    """Chains (doc_id, source, marks) along the scattered pairs that two documents of :func:`seed_matches` have."""
+    found = matched.where("source is null and size(pairs) > 0").select("doc_id", "pairs")
+    places = materialize(found.mapInArrow(_unfold_pairs, "key long, doc_id long, a long, b long"))
+    origin = places.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.min(F.struct("doc_id", "a", "b")).alias("at")).where("source != last")
+    join = F.col("key").bitwiseXOR(F.lit(1)).alias("key")  # as in run_passages: a key of its own
+    places = materialize(places.select(join, "doc_id", "a", "b").join(origin.select(join, "n", "at"), "key"))
+    star = places.where((F.col("n") > FEW_PLACES) & (F.col("doc_id") != F.col("at.doc_id"))).select("doc_id", F.col("at.doc_id").alias("source"), "a", "b", F.col("at.a").alias("at_a"), F.col("at.b").alias("at_b"))
+    few = places.where(F.col("n") <= FEW_PLACES).select("key", "doc_id", "a", "b")
+    earlier = few.select("key", F.col("doc_id").alias("source"), F.col("a").alias("at_a"), F.col("b").alias("at_b"))
+    every = few.join(earlier, "key").where("source < doc_id").select(star.columns)
+    rows = star.unionByName(every).repartition("doc_id").sortWithinPartitions("doc_id", "source", "a")
+    return rows.mapInArrow(_pair_chains, "doc_id long, source long, marks array<long>")
 
 
 def run_table(rows: DataFrame, ranges: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -604,21 +665,21 @@ def _aligner(min_words: int):
         for batch in batches:
             out = []
             for r in range(batch.num_rows):
-                doc, source, marks, y0, x0, a, b = (c[r].as_py() for c in batch.columns)
+                doc, source, marks, y0, x0, a, b, paired = (c[r].as_py() for c in batch.columns)
                 a, b = (np.frombuffer(unsqueeze(z), "<u4") for z in (a, b))
                 ys = [y - y0 for first, last, _ in zip(marks[::3], marks[1::3], marks[2::3], strict=True) for y in (first, last)]
                 xs = [x - x0 for first, last, at in zip(marks[::3], marks[1::3], marks[2::3], strict=True) for x in (at, at + last - first)]
                 runs, gaps = equal_runs(a, b, ys, xs)
-                out += [(doc, ya + y0, yb + y0, source, xa + x0, xb + x0, same) for ya, yb, xa, xb, same in passages_along(a, b, runs, gaps, min_words)]
-                out += [(doc, lo + y0, hi + y0, None, None, None, None) for lo, hi in _verbatim(a, b, runs, min_words)]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "end", "source", "source_start", "source_end", "matches"])
+                out += [(doc, ya + y0, yb + y0, source, xa + x0, xb + x0, same, paired) for ya, yb, xa, xb, same in passages_along(a, b, runs, gaps, min_words)]
+                out += [(doc, lo + y0, hi + y0, None, None, None, None, False) for lo, hi in _verbatim(a, b, runs, min_words)]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
+            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.bool_())], [*_COLUMNS, "paired"])
 
     return aligned
 
 
 def aligned_passages(rows: DataFrame, found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages along the chains of ``found``, and (source null) the document's exact runs in its source."""
+    """Passages along the chains of ``found`` (doc_id, source, marks, paired), and (source null) the document's exact runs in its source."""
     def low(c):
         return F.floor(F.greatest(c - MARGIN, F.lit(0)) / RASTER) * RASTER
 
@@ -628,7 +689,7 @@ def aligned_passages(rows: DataFrame, found: DataFrame, min_words: int = MIN_WOR
     n = F.size("marks")
     first, last, at = F.get("marks", F.lit(0)), F.get("marks", n - 2), F.get("marks", F.lit(2))
     end = F.get("marks", n - 1) + last - F.get("marks", n - 3)
-    found = found.select("doc_id", "source", "marks", low(first).alias("y0"), high(last).alias("y1"), low(at).alias("x0"), high(end).alias("x1"))
+    found = found.select("doc_id", "source", "marks", "paired", low(first).alias("y0"), high(last).alias("y1"), low(at).alias("x0"), high(end).alias("x1"))
     # Each slice once, however many chains need it; a text goes to its task once, with all of its slices (pairs of
     # raster points of that text, so its length bounds the list).
     mine, theirs = F.struct(F.col("y0").alias("lo"), F.col("y1").alias("hi")), F.struct(F.col("x0").alias("lo"), F.col("x1").alias("hi"))
@@ -639,8 +700,20 @@ def aligned_passages(rows: DataFrame, found: DataFrame, min_words: int = MIN_WOR
     release(rows.sparkSession)
     mine = slices.select("doc_id", F.col("lo").alias("y0"), F.col("hi").alias("y1"), F.col("words").alias("a"))
     theirs = slices.select(F.col("doc_id").alias("source"), F.col("lo").alias("x0"), F.col("hi").alias("x1"), F.col("words").alias("b"))
-    both = found.join(mine, ["doc_id", "y0", "y1"]).join(theirs, ["source", "x0", "x1"]).select("doc_id", "source", "marks", "y0", "x0", "a", "b")
-    return both.mapInArrow(_aligner(min_words), _PASSAGES).dropDuplicates()
+    both = found.join(mine, ["doc_id", "y0", "y1"]).join(theirs, ["source", "x0", "x1"]).select("doc_id", "source", "marks", "y0", "x0", "a", "b", "paired")
+    return both.mapInArrow(_aligner(min_words), f"{_PASSAGES}, paired boolean").groupBy(_COLUMNS).agg(F.min("paired").alias("paired"))
+
+
+def _uncovered(batches):
+    """A partition's passages, sorted by doc_id, without the paired ones whose words a passage on an earlier source has."""
+    for t in _whole_documents(batches):
+        keep = np.ones(len(t), bool)
+        lo, hi, source, doc = (t[c].to_numpy(np.int64) for c in ("start", "end", "source", "doc_id"))
+        starts, ends = np.searchsorted(doc, doc, "left"), np.searchsorted(doc, doc, "right")
+        for i in np.flatnonzero(t["paired"].to_numpy(bool)).tolist():
+            d = slice(starts[i], ends[i])
+            keep[i] = not ((lo[d] <= lo[i]) & (hi[d] >= hi[i]) & (source[d] < source[i])).any()
+        yield pa.RecordBatch.from_pandas(t.loc[keep, _COLUMNS], preserve_index=False)
 
 
 def _still_open(min_words: int):
@@ -672,12 +745,14 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = _texts(df, id_col, text_col)
     matched = materialize(seed_matches(rows, min_words))
     release(df.sparkSession)
-    got = materialize(aligned_passages(rows, matched.where("source is not null"), min_words))
+    found = matched.where("source is not null").select("doc_id", "source", "marks", F.lit(False).alias("paired")).unionByName(pair_matches(matched).withColumn("paired", F.lit(True)))
+    found = found.groupBy("doc_id", "source", "marks").agg(F.min("paired").alias("paired"))
+    got = materialize(aligned_passages(rows, found, min_words))
     release(df.sparkSession)
     exact = got.where("source is null").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
     left = matched.where("source is null").select("doc_id", "marks").join(exact, "doc_id", "left").select("doc_id", "marks", "runs")
     left = materialize(left.mapInArrow(_still_open(min_words), "doc_id long, marks array<long>"))
-    out = got.where("source is not null")
+    out = got.where("source is not null").repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_uncovered, _PASSAGES)
     if not left.isEmpty():
         out = out.unionByName(run_passages(rows, left, min_words)).dropDuplicates()
     return out

@@ -37,6 +37,22 @@ def test_passage_whose_parts_occurred_before(spark):
     assert found(spark, docs) == [(11, 7, 77, 10), (12, 0, 40, 10)]
 
 
+def test_fuzzy_passage_whose_parts_occurred_before(spark):
+    rng = np.random.default_rng(14)
+    docs = []
+    for n in range(20):
+        whole = prose(rng, 75)
+        parts = [whole[at : at + 20] for at in range(0, 60, 15)] + [whole[60:]]  # they overlap, so that every seed of the whole occurred before
+        docs += [(100 * n + i, prose(rng, 50) + part + prose(rng, 50)) for i, part in enumerate(parts)]
+        edited = list(whole)
+        for at in (7, 22, 37, 52, 67):
+            edited[at] = f"e{rng.integers(10**6)}"
+        docs += [(100 * n + 10, prose(rng, 30) + whole + prose(rng, 30)), (100 * n + 11, prose(rng, 7) + edited + prose(rng, 30))]
+    got = found(spark, docs)
+    assert {d for d, *_ in got} <= {100 * n + 11 for n in range(20)} and all(s == d - 1 for d, *_, s in got)
+    assert sum(a <= 8 and b >= 81 for _, a, b, _ in got) >= 18
+
+
 def test_verbatim_passage_before_a_loosely_similar_region(spark):
     rng = np.random.default_rng(9)
     for equal, different in ((8, 4), (10, 4), (8, 3), (4, 2)):
