@@ -25,7 +25,7 @@ every other document then finds, or takes part in the second join: two documents
 A fuzzy passage has no such run, and if its seeds first occurred in several documents, none of their chains is the passage. So there is a
 third join, on pairs of shared seeds that follow each other (or with one between) while their first places don't: those where one
 source ends and another begins. Where a pair has at most ``FEW_PLACES`` places each is matched with those of all earlier
-documents, otherwise with its first one. These matches are chained and aligned as those of single seeds, however little they span;
+documents, otherwise with its first one. These matches are chained and aligned as those of single seeds;
 what they find is left out where a passage on an earlier source has all of its words.
 
 A passage is reported on the document that has it later (the larger doc_id), with the place it repeats.
@@ -547,10 +547,15 @@ def _pair_chains(batches):
     """Chains along a partition's matching pairs, which come sorted by doc_id."""
     for t in _whole_documents(batches):
         rows = []
-        for (doc, source), part in t.groupby(["doc_id", "source"]):
-            at = np.unique(np.concatenate([part[["a", "at_a"]].to_numpy(np.int64), part[["b", "at_b"]].to_numpy(np.int64)]), axis=0)
-            for one, chain in _chains(at[:, 0], np.full(len(at), source, np.int64), at[:, 1]):
-                rows.append({"doc_id": int(doc), "source": one, "marks": [m for f in chain for m in f[:3]]})
+        doc, source, a, b, at_a, at_b = (t[c].to_numpy(np.int64) for c in ("doc_id", "source", "a", "b", "at_a", "at_b"))
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(source) != 0)]))
+        ends = np.append(starts[1:], len(t))
+        for i in np.flatnonzero(np.maximum.reduceat(b, starts) - np.minimum.reduceat(a, starts) >= LEAST_SPAN).tolist():
+            part = slice(int(starts[i]), int(ends[i]))
+            at = np.unique(np.stack([np.concatenate([a[part], b[part]]), np.concatenate([at_a[part], at_b[part]])], axis=1), axis=0)
+            for one, chain in _chains(at[:, 0], np.full(len(at), source[starts[i]], np.int64), at[:, 1]):
+                if chain[-1][1] - chain[0][0] >= LEAST_SPAN:
+                    rows.append({"doc_id": int(doc[starts[i]]), "source": one, "marks": [m for f in chain for m in f[:3]]})
         schema = pa.schema(list(_MATCHED)[:3])
         yield from pa.Table.from_pylist(rows, schema).to_batches() or [pa.record_batch([[], [], []], schema=schema)]
 
