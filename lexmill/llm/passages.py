@@ -676,7 +676,7 @@ def _aligner(min_words: int):
                 xs = [x - x0 for first, last, at in zip(marks[::3], marks[1::3], marks[2::3], strict=True) for x in (at, at + last - first)]
                 runs, gaps = equal_runs(a, b, ys, xs)
                 out += [(doc, ya + y0, yb + y0, source, xa + x0, xb + x0, same, paired) for ya, yb, xa, xb, same in passages_along(a, b, runs, gaps, min_words)]
-                out += [(doc, lo + y0, hi + y0, None, None, None, None, False) for lo, hi in _verbatim(a, b, runs, min_words)]
+                out += [(doc, lo + y0, hi + y0, None, None, None, None, paired) for lo, hi in _verbatim(a, b, runs, min_words)]
             cols = list(zip(*out, strict=True)) if out else [[]] * 8
             yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols[:7]), pa.array(cols[7], pa.bool_())], [*_COLUMNS, "paired"])
 
@@ -754,7 +754,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = found.groupBy("doc_id", "source", "marks").agg(F.min("paired").alias("paired"))
     got = materialize(aligned_passages(rows, found, min_words))
     release(df.sparkSession)
-    exact = got.where("source is null").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    # Runs that only pairs have found stay open: the second join names their first place.
+    exact = got.where("source is null and not paired").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
     left = matched.where("source is null").select("doc_id", "marks").join(exact, "doc_id", "left").select("doc_id", "marks", "runs")
     left = materialize(left.mapInArrow(_still_open(min_words), "doc_id long, marks array<long>"))
     out = got.where("source is not null").repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_uncovered, _PASSAGES)
