@@ -43,6 +43,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -71,6 +72,8 @@ AHEAD = 8
 MARGIN, RASTER = 48, 64
 #: Slices of a text that one Arrow batch holds.
 SLICES = 256
+#: Rows of an Arrow batch of runs or seed pairs, about.
+ROWS = 65_536
 CACHE_WORDS = 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -88,8 +91,9 @@ class _Hashes(dict):
         return h
 
 
-def word_hashes(text: bytes, hashes: _Hashes) -> np.ndarray:
-    words = text.lower().split()
+def word_hashes(text: bytes, hashes: _Hashes, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Hashes of a text's words, or of those from ``lo`` to ``hi``."""
+    words = text.lower().split()[lo:hi]
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
@@ -538,9 +542,11 @@ def seed_matches(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _unfold_pairs(batches):
     for batch in batches:
-        for doc, pairs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            t = pairs.values.to_numpy().reshape(-1, 3)
-            yield pa.record_batch([pa.array(c) for c in (t[:, 0].copy(), np.full(len(t), doc, np.int64), t[:, 1].copy(), t[:, 2].copy())], ["key", "doc_id", "a", "b"])
+        t = batch.column(1).flatten().to_numpy().reshape(-1, 3)
+        doc = np.repeat(batch.column(0).to_numpy(), pc.list_value_length(batch.column(1)).to_numpy() // 3)
+        for at in range(0, len(t), ROWS):
+            part = slice(at, at + ROWS)
+            yield pa.record_batch([pa.array(c) for c in (t[part, 0].copy(), doc[part], t[part, 1].copy(), t[part, 2].copy())], ["key", "doc_id", "a", "b"])
 
 
 def _pair_chains(batches):
@@ -580,13 +586,25 @@ def run_table(rows: DataFrame, ranges: DataFrame, min_words: int = MIN_WORDS) ->
 
     def scan(batches):
         hashes = _Hashes()
+        held: list[tuple] = []
+        size = 0
+
+        def table():
+            return pa.record_batch([np.concatenate(c) for c in zip(*held, strict=True)], ["hash", "doc_id", "pos"])
+
         for batch in batches:
             for doc, text, some in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                h = word_hashes(text.as_py(), hashes)
+                first = min(some[::2])
+                h = word_hashes(text.as_py(), hashes, first, max(some[1::2]) - 1 + min_words)
                 for lo, hi in zip(some[::2], some[1::2], strict=True):
-                    g = grams(h[lo : hi - 1 + min_words], min_words)
-                    if len(g):
-                        yield pa.record_batch({"hash": g.view(np.int64), "doc_id": np.full(len(g), doc, np.int64), "pos": np.arange(lo, lo + len(g), dtype=np.int32)})
+                    g = grams(h[lo - first : hi - first - 1 + min_words], min_words)
+                    held.append((g.view(np.int64), np.full(len(g), doc, np.int64), np.arange(lo, lo + len(g), dtype=np.int32)))
+                    size += len(g)
+                if size >= ROWS:
+                    yield table()
+                    held, size = [], 0
+        if size:
+            yield table()
 
     return rows.join(ranges, "doc_id").select("doc_id", "text", "marks").mapInArrow(scan, "hash long, doc_id long, pos int")
 
@@ -656,10 +674,11 @@ def _cut_slices(batches):
     hashes = _Hashes()
     for batch in batches:
         for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            words = word_hashes(text.as_py(), hashes).astype("<u4")
+            first = min(s["lo"] for s in asked)
+            words = word_hashes(text.as_py(), hashes, first, max(s["hi"] for s in asked)).astype("<u4")
             for at in range(0, len(asked), SLICES):
                 part = asked[at : at + SLICES]
-                bodies = [squeeze(words[s["lo"] : s["hi"]].tobytes()) for s in part]
+                bodies = [squeeze(words[s["lo"] - first : s["hi"] - first].tobytes()) for s in part]
                 yield pa.record_batch({"doc_id": pa.array([doc] * len(part), pa.int64()), "lo": pa.array([s["lo"] for s in part], pa.int64()), "hi": pa.array([s["hi"] for s in part], pa.int64()), "words": pa.array(bodies, pa.binary())})
 
 
@@ -751,7 +770,9 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     matched = materialize(seed_matches(rows, min_words))
     release(df.sparkSession)
     found = matched.where("source is not null").select("doc_id", "source", "marks", F.lit(False).alias("paired")).unionByName(pair_matches(matched).withColumn("paired", F.lit(True)))
-    found = found.groupBy("doc_id", "source", "marks").agg(F.min("paired").alias("paired"))
+    # Both sides of the alignment need the chains: made once, without the steps that led to them.
+    found = materialize(found.groupBy("doc_id", "source", "marks").agg(F.min("paired").alias("paired")))
+    release(df.sparkSession)
     got = materialize(aligned_passages(rows, found, min_words))
     release(df.sparkSession)
     # Runs that only pairs have found stay open: the second join names their first place.

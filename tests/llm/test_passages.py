@@ -1,4 +1,9 @@
+import uuid
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 
 from lexmill.llm import passages
 
@@ -53,6 +58,34 @@ def test_fuzzy_passage_whose_parts_occurred_before(spark):
     assert sum(a <= 8 and b >= 81 for _, a, b, _ in got) >= 18
 
 
+def test_pair_chains_are_made_once(spark, tmp_path, monkeypatch):
+    made = passages._pair_chains
+
+    def counted(batches):
+        (tmp_path / uuid.uuid4().hex).write_text(str(TaskContext.get().partitionId()))
+        yield from made(batches)
+
+    monkeypatch.setattr(passages, "_pair_chains", counted)
+    rng = np.random.default_rng(15)
+    whole = prose(rng, 75)
+    edited = [f"e{i}" if i in (7, 22, 37, 52, 67) else w for i, w in enumerate(whole)]
+    docs = [(i, prose(rng, 50) + whole[at : at + 20] + prose(rng, 50)) for i, at in enumerate((0, 15, 30, 45, 55))]
+    assert [(d, s) for d, _, _, s in found(spark, [*docs, (10, prose(rng, 30) + whole), (11, prose(rng, 7) + edited)])] == [(11, 10)]
+    runs = Counter(p.read_text() for p in tmp_path.iterdir())
+    assert runs and max(runs.values()) == 1, runs
+
+
+def test_pairs_of_many_documents_in_batches():
+    rng = np.random.default_rng(16)
+    docs = [rng.integers(-(2**60), 2**60, (int(n), 3)) for n in (1, passages.ROWS, 70_000, 5)]
+    batch = pa.record_batch([pa.array([9, 7, -3, 8, 6]), pa.array([[1, 2, 3], *(d.ravel() for d in docs)], pa.list_(pa.int64()))], ["doc_id", "pairs"])
+    got = list(passages._unfold_pairs([batch.slice(1)]))
+    assert max(b.num_rows for b in got) == passages.ROWS
+    columns = [np.concatenate([b.column(c).to_numpy() for b in got]) for c in range(4)]
+    rows = [(k, doc, a, b) for doc, d in zip((7, -3, 8, 6), docs, strict=True) for k, a, b in d.tolist()]
+    assert list(zip(*(c.tolist() for c in columns), strict=True)) == rows
+
+
 def test_verbatim_passage_before_a_loosely_similar_region(spark):
     rng = np.random.default_rng(9)
     for equal, different in ((8, 4), (10, 4), (8, 3), (4, 2)):
