@@ -19,6 +19,10 @@ Decoding joins every id to its piece: a broadcast join. The id-to-piece table ha
 (49,408 here), a size that doesn't depend on the data, so it is sent to every task; its keys are 0, 1, 2 and so on, so the
 join's hash table is an array that a text's ids are looked up in, in order.
 
+Memory: no task runs more than one Python worker. :func:`bpe_decode` over :func:`bpe_encode` would run two at once, the
+join's and the decoder's, and executors keep all their workers; :func:`bpe_round_trip` runs both steps in one. Each step
+gives back what it has freed, for the same workers serve all of them.
+
 Defined results: a null text is an empty one; an empty text has no ids and decodes to ""; repeated rows and
 null ids are rows like any other; an id outside the vocabulary decodes to nothing; other columns of the
 input, whatever their names, are ignored. An empty table gives an empty table.
@@ -38,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, text_bytes
+from .common import materialize, partitions, text_bytes, trim
 
 CHUNK_WORDS = 3_000_000
 ROW_WORDS = 400_000
@@ -123,7 +127,8 @@ def _splitter(n_buckets: int):
             lens = np.array([len(p) for p in parts], np.uint32)
             flat = np.concatenate(parts)
             parts.clear()
-            order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+            counts = sum(np.bincount(flat[i : i + ROW_WORDS], minlength=len(numbers)) for i in range(0, max(1, len(flat)), ROW_WORDS))
+            order = np.argsort(-counts, kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             ends = np.cumsum(lens, dtype=np.int64)
@@ -153,8 +158,11 @@ def _splitter(n_buckets: int):
                 if held >= CHUNK_WORDS:
                     yield from chunk()
                     numbers, ids, held, seq = _Numbers(), [], 0, seq + 1
+                    trim()
         if ids:
             yield from chunk()
+            numbers = _Numbers()
+            trim()
 
     return split
 
@@ -183,6 +191,8 @@ def _encoder(spec):
             n = lens[words]
             out_lens.append(_pack(n))
             out_ids.append(_pack(flat[_ranges(starts[words], n)]))
+        del numbers, distinct, lists, flat
+        trim()
         return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "lens": pa.array(out_lens, pa.binary()), "body": pa.array(out_ids, pa.binary())})
 
     return encode
@@ -195,7 +205,12 @@ def _ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lens) + np.arange(int(lens.sum()), dtype=np.int64)
 
 
-def _joiner(texts: pa.Table, coded: pa.Table) -> pa.Table:
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+_DECODED = pa.schema([*_ENCODED, ("decoded", pa.string())])
+
+
+def _joined(texts: pa.Table, coded: pa.Table):
+    """Batches of ``doc_id`` and ``ids``: a chunk's texts, with what its words were encoded as."""
     kinds = texts.column("kind").to_numpy()
     bodies = texts.column("body")
     of = _unpack(bodies[int(np.flatnonzero(kinds == 1)[0])].as_py())
@@ -207,15 +222,43 @@ def _joiner(texts: pa.Table, coded: pa.Table) -> pa.Table:
     lens[order] = np.concatenate(got) if got else 0
     starts = np.zeros(len(of), np.int64)
     starts[order] = np.cumsum(lens[order], dtype=np.int64) - lens[order]
-    batches = []
     for r in np.flatnonzero(kinds == 0).tolist():
         ids, counts, words = texts.column("ids")[r], _unpack(texts.column("lens")[r].as_py()), _unpack_words(bodies[r].as_py())
         n = lens[words]
         tokens = flat[_ranges(starts[words], n)].astype("<u4").tobytes()
         ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[np.cumsum(counts, dtype=np.int64)] * 4
         at = [0, *ends.tolist()]
-        batches.append(pa.record_batch({"doc_id": ids.values, "ids": pa.array([tokens[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())}))
-    return pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
+        yield pa.record_batch({"doc_id": ids.values, "ids": pa.array([tokens[a:b] for a, b in zip(at, at[1:], strict=False)], pa.binary())})
+        trim()
+
+
+def _joiner(texts: pa.Table, coded: pa.Table) -> pa.Table:
+    return pa.Table.from_batches(_joined(texts, coded), _ENCODED)
+
+
+def _decoder(pieces):
+    """Batches of ``doc_id``, ``ids`` and ``decoded`` from such of ``doc_id`` and ``ids``."""
+
+    def decode(batches):
+        table = np.array([*pieces.value, None], object)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                out = []
+                for ids in part.column(1):
+                    ids = np.frombuffer(ids.as_py() or b"", "<u4")
+                    got = table[np.minimum(ids, len(table) - 1)].tolist()
+                    out.append(" ".join(got) if None not in got else " ".join(p for p in got if p is not None))
+                yield pa.record_batch({"doc_id": part.column(0), "ids": part.column(1), "decoded": pa.array(out, pa.string())})
+
+    return decode
+
+
+def _pieces(df: DataFrame, tokenizer_path: str):
+    """The id-to-piece table, sent to every task."""
+    spec = json.loads(tokenizer_json(tokenizer_path))
+    by_id = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+    return df.sparkSession.sparkContext.broadcast([by_id.get(i) for i in range(max(by_id) + 1)])
 
 
 def bpe_encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", n_buckets: int | None = None) -> DataFrame:
@@ -224,6 +267,11 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     ``n_buckets`` deals out the distinct words; by default as many as keep a bucket at ``BUCKET`` bytes however large the
     corpus is, and the session's shuffle width at least.
     """
+    return _chunks(df, tokenizer_path, id_col, text_col, n_buckets).applyInArrow(_joiner, "doc_id long, ids binary")
+
+
+def _chunks(df: DataFrame, tokenizer_path: str, id_col: str, text_col: str, n_buckets: int | None):
+    """Each chunk's texts and encoded words, brought together."""
     spark = df.sparkSession
     spec = spark.sparkContext.broadcast(tokenizer_json(tokenizer_path))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -234,29 +282,23 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
         .applyInArrow(_encoder(spec), "chunk long, bucket int, lens binary, body binary")
     )
     texts = split.where("kind < 2").drop("bucket")
-    return texts.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_joiner, "doc_id long, ids binary")
+    return texts.groupBy("chunk").cogroup(coded.groupBy("chunk"))
 
 
 def bpe_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``doc_id``, ``ids`` and ``decoded``: the pieces of a row's ids, space-joined, special tokens included."""
-    spec = json.loads(tokenizer_json(tokenizer_path))
-    by_id = {i: p for p, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-    pieces = df.sparkSession.sparkContext.broadcast([by_id.get(i) for i in range(max(by_id) + 1)])
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
+    return rows.mapInArrow(_decoder(_pieces(df, tokenizer_path)), "doc_id long, ids binary, decoded string")
 
-    def decode(batches):
-        table = np.array([*pieces.value, None], object)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out = []
-                for ids in part.column(1):
-                    ids = np.frombuffer(ids.as_py() or b"", "<u4")
-                    got = table[np.minimum(ids, len(table) - 1)].tolist()
-                    out.append(" ".join(got) if None not in got else " ".join(p for p in got if p is not None))
-                yield pa.record_batch({"doc_id": part.column(0), "ids": part.column(1), "decoded": pa.array(out, pa.string())})
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(decode, "doc_id long, ids binary, decoded string")
+def bpe_round_trip(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", n_buckets: int | None = None) -> DataFrame:
+    """:func:`bpe_decode` of :func:`bpe_encode`: the same steps, the decoder in the worker that joins a chunk's ids back."""
+    decode = _decoder(_pieces(df, tokenizer_path))
+
+    def join(texts: pa.Table, coded: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(decode(_joined(texts, coded)), _DECODED)
+
+    return _chunks(df, tokenizer_path, id_col, text_col, n_buckets).applyInArrow(join, "doc_id long, ids binary, decoded string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def tokenizer_path() -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     tokenizer = tokenizer or tokenizer_path()
-    return bpe.digests(bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer))
+    return bpe.digests(bpe.bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,16 @@ def test_bpe_same_as_library(spark, edge, empty):
     assert bpe.bpe_encode(empty, path).count() == 0
 
 
+def test_bpe_round_trip_in_one_worker(spark, edge, empty):
+    path = queries.tokenizer_path()
+    got = bpe.bpe_round_trip(edge, path, n_buckets=3)
+    assert got.columns == ["doc_id", "ids", "decoded"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, bpe.bpe_decode(bpe.bpe_encode(edge, path), path).collect()))
+    assert bpe.bpe_round_trip(empty, path).count() == 0
+    plan = queries.op1_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "MapInArrow" not in plan  # a second Python worker beside the join's in each task
+
+
 def test_topk_brute_force(spark):
     rng = np.random.default_rng(1)
     x = np.round(rng.normal(0, 0.3, (400, 8)), 1)
